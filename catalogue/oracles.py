@@ -284,7 +284,7 @@ def tail(z: str) -> str:
     """P(Z > z) by Simpson's rule on 2 000 steps; the statements have no error function."""
     return (f"(SELECT 0.5 - ({z}) / 6000.0 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 "
             f"THEN 4 ELSE 2 END) * exp(-power(({z}) * i / 2000.0, 2) / 2)) / sqrt(2 * pi()) "
-            "FROM range(2001) t(i))")
+            "FROM range(2001) simpson(i))")
 
 
 def chi2_tail(x: str, df: int) -> str:

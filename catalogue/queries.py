@@ -494,4 +494,4 @@ def interactions(spark, sf):
         "ticker", "session_date", *crossed), crossed)
 
 
-from catalogue import verdict_queries  # noqa: E402,F401  (registers the statistical queries)
+from catalogue import reading_queries, verdict_queries  # noqa: E402,F401  (they register more)

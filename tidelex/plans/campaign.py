@@ -18,16 +18,28 @@ from tidelex.session import checkpointed
 from tidelex.sources import answers as store, ledger as ledgers
 
 
-def build_units(corpus: DataFrame, sessions: DataFrame, replicates: int,
-                origin: str = clock.DAILY_ORIGIN) -> DataFrame:
-    """Every (ticker, session, replicate) with its digest, built once per session."""
-    kept = neardup.keep_first(align.eligible_documents(corpus, sessions, origin))
-    digests = digest.build_digests(kept, sessions)
+def stored_digests(kept: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Digests of the sessions, cut from the corpus behind them.
+
+    Every tier keys on them and the sinks read them again; a digest is at most its budget long, so
+    what is stored is a small part of the text it was built from.
+    """
+    return checkpointed(digest.build_digests(kept, sessions))
+
+
+def units_of(digests: DataFrame, replicates: int) -> DataFrame:
+    """Every (ticker, session, replicate), sharing the digest of its session."""
     named = digests.select("ticker", F.date_format("session_date", "yyyy-MM-dd").alias("session"),
                            "n_documents", "digest", "digest_sha256")
     return committee.with_replicates(named, replicates)
 
 
+def build_units(corpus: DataFrame, sessions: DataFrame, replicates: int,
+                origin: str = clock.DAILY_ORIGIN) -> DataFrame:
+    kept = neardup.keep_first(align.eligible_documents(corpus, sessions, origin))
+    return units_of(stored_digests(kept, sessions), replicates)
+
+
 def price(units: DataFrame, arm: Arm, answers: DataFrame, tier: str = "analyst",
           seat: str = "analyst_fundamentals") -> DataFrame:
     """One row before anything is sent: units, units with a document, units whose first call is
