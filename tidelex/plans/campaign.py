@@ -83,20 +83,22 @@ class Asking:
     endpoint: Endpoint
     config: Config
 
-    def __call__(self, asked: DataFrame, contexts: DataFrame) -> DataFrame:
+    def __call__(self, asked: DataFrame, contexts: DataFrame) -> DataFrame | None:
         config, arm = self.config, self.arm
         missing = store.to_pay(asked, store.load_answers(self.spark, config.answers_path))
-        # Equal keys of one stage are one call.
-        priced = checkpointed(missing.dropDuplicates(["cache_key"]).withColumn(
+        # Equal keys of one stage are one call, paid by the first unit that needs it.
+        others = [c for c in missing.columns if c not in (*KEY, "cache_key")]
+        first = missing.groupBy("cache_key").agg(
+            F.min(F.struct(*KEY, *others)).alias("first")).select("cache_key", "first.*")
+        priced = first.withColumn(
             "estimate", fingerprint.cost_estimate(F.col("context_chars"), F.col("system_chars"),
-                                                  arm.max_output_tokens)))
+                                                  arm.max_output_tokens))
         spent = ledgers.total_cost(self.spark, config.ledger_path, config.prior_ledgers)
-        planned = quota.admit_within_budget(
-            priced, "estimate", spent, config.budget_usd, "ticker",
-            ["session", "replicate", "mandate"], F.col("session"))
-        planned = checkpointed(planned)
+        planned = checkpointed(quota.admit_within_budget(
+            checkpointed(priced), "estimate", spent, config.budget_usd, "ticker",
+            ["session", "replicate", "mandate"], F.col("session")))
         if planned.isEmpty():
-            return committee.no_answers(self.spark)
+            return None
         attempts = self._send(planned.where("admitted"), contexts)
         self._record(attempts, planned)
         if not attempts.where("status = 'terminal'").isEmpty():
@@ -104,8 +106,9 @@ class Asking:
         if not planned.where("NOT admitted").isEmpty():
             raise BudgetExceeded(f"{spent:.4f} USD are spent and the remaining calls do not fit "
                                  f"under {config.budget_usd:.2f}; stored answers are kept")
-        return attempts.where("parse_ok").select(
-            "cache_key", "raw", "model_returned", "structure_mode", "cost_usd")
+        payers = planned.select("cache_key", F.struct(*KEY).alias("payer"))
+        return attempts.where("parse_ok").join(payers, "cache_key").select(
+            "cache_key", "raw", "cost_usd", "payer")
 
     def _send(self, admitted: DataFrame, contexts: DataFrame) -> DataFrame:
         calls = committee.route(self.arm.debate_rounds, self.arm.panel_rounds, self.arm.analysts)

@@ -98,19 +98,23 @@ def requests(contexts: DataFrame, arm: Arm, tier: str, seats: tuple[str, ...]) -
 
 
 def answered(asked: DataFrame, answers: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """Requests with their validated reading. A request without any answer is a failed reading."""
-    stored = answers.select("cache_key", "raw", F.lit(True).alias("cache_hit"),
-                            F.lit(0.0).alias("billed"))
+    """Requests with their validated reading. A request without any answer is a failed reading.
+
+    A fresh answer was paid by its `payer`; any other unit with the same key found it stored.
+    """
+    none = F.lit(None).cast("struct<ticker:string,session:string,replicate:int>")
+    known = answers.select("cache_key", "raw", F.lit(True).alias("stored"),
+                           F.lit(0.0).alias("cost_usd"), none.alias("payer"))
     if fresh is not None:
-        stored = stored.unionByName(fresh.select(
-            "cache_key", "raw", F.lit(False).alias("cache_hit"),
-            F.col("cost_usd").alias("billed")))
+        known = known.unionByName(fresh.select(
+            "cache_key", "raw", F.lit(False).alias("stored"), "cost_usd", "payer"))
+    found = F.coalesce(F.col("stored") | (F.col("payer") != F.struct(*KEY)), F.lit(False))
     body = replies.strip_reasoning(F.col("raw"))
-    return (asked.join(stored, "cache_key", "left")
+    return (asked.join(known, "cache_key", "left").withColumn("cache_hit", found)
             .withColumn("reading", replies.parsed(body, F.col("tier"), F.col("seat")))
-            .select(*KEY, "tier", "seat", "mandate", "cache_key",
-                    F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"),
-                    F.coalesce("billed", F.lit(0.0)).alias("billed"), "reading.*"))
+            .select(*KEY, "tier", "seat", "mandate", "cache_key", "cache_hit",
+                    F.when(~F.col("cache_hit"), F.coalesce("cost_usd", F.lit(0.0)))
+                    .otherwise(0.0).alias("billed"), "reading.*"))
 
 
 def _lines(readings: DataFrame, seats: tuple[str, ...]) -> list[Column]:
