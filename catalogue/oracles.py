@@ -59,18 +59,20 @@ kept AS (
 
 
 CELLS = r"""
-cells AS (
-  SELECT 'S' || (l_suppkey // 20) AS ticker,
-         CAST(date_trunc('week', l_shipdate) AS DATE) AS session_date,
-         arg_min(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber,
-                 l_extendedprice, l_quantity)) AS open,
+days AS (
+  SELECT 'S' || (l_suppkey // 20) AS ticker, CAST(l_shipdate AS DATE) AS day,
          max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber,
-                 l_extendedprice, l_quantity)) AS close,
-         count(*) AS n, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS discounts,
-         CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS taxes,
-         CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS quantities
-  FROM lineitem GROUP BY ALL)"""
+         count(*) AS n, sum(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS discounts,
+         sum(CAST(floor(l_tax * 100 + 0.5) AS BIGINT)) AS taxes,
+         sum(CAST(trunc(l_quantity) AS BIGINT)) AS quantities
+  FROM lineitem GROUP BY ALL),
+cells AS (
+  SELECT ticker, CAST(date_trunc('week', day) AS DATE) AS session_date,
+         arg_min(low, day) AS open, max(high) AS high, min(low) AS low,
+         arg_max(high, day) AS close, CAST(sum(n) AS BIGINT) AS n,
+         CAST(sum(discounts) AS BIGINT) AS discounts, CAST(sum(taxes) AS BIGINT) AS taxes,
+         CAST(sum(quantities) AS BIGINT) AS quantities
+  FROM days GROUP BY ALL)"""
 
 PANEL = CELLS + r""",
 variances AS (

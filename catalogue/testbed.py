@@ -39,20 +39,27 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem by supplier group and week: open, high, low, close of the unit price, and the
-    integer sums from which text columns are made. Everything is combined before the shuffle."""
+    """lineitem by supplier group and week: prices of a week, and the integer sums from which text
+    columns are made.
+
+    A week opens at the lowest unit price of its first day and closes at the highest of its last.
+    Days come first, so that every aggregate is over numbers and combined before the shuffle.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    moment = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return (
+    days = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.expr("concat('S', l_suppkey div 20)").alias("ticker"),
-                 F.date_trunc("week", "l_shipdate").cast("date").alias("session_date"))
-        .agg(F.min_by(price, moment).alias("open"), F.max(price).alias("high"),
-             F.min(price).alias("low"), F.max_by(price, moment).alias("close"),
+        .groupBy(F.expr("l_suppkey div 20").alias("desk"),
+                 F.col("l_shipdate").cast("date").alias("day"))
+        .agg(F.max(price).alias("high"), F.min(price).alias("low"),
              F.count(F.lit(1)).alias("n"),
-             F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("discounts"),
-             F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("taxes"),
+             F.sum(F.floor(F.col("l_discount") * 100 + 0.5)).alias("discounts"),
+             F.sum(F.floor(F.col("l_tax") * 100 + 0.5)).alias("taxes"),
              F.sum(F.col("l_quantity").cast("long")).alias("quantities")))
+    week = F.date_trunc("week", "day").cast("date").alias("session_date")
+    return days.groupBy(F.concat(F.lit("S"), "desk").alias("ticker"), week).agg(
+        F.min_by("low", "day").alias("open"), F.max("high").alias("high"),
+        F.min("low").alias("low"), F.max_by("high", "day").alias("close"),
+        *[F.sum(c).alias(c) for c in ("n", "discounts", "taxes", "quantities")])
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

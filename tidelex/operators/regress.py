@@ -53,6 +53,17 @@ def with_interactions(frame: DataFrame, columns: list[str] = TEXT) -> DataFrame:
     return frame.withColumns({f"{c}_x_stressed": F.col(c) * F.col("stressed") for c in columns})
 
 
+@dataclass
+class Moments:
+    """Centred rows of a frame and their sums of products, from which any subset is fitted."""
+
+    columns: list[str]
+    gram: np.ndarray                            # of y and the columns
+    tss: float
+    n: int
+    centred: DataFrame
+
+
 @dataclass
 class Fit:
     columns: list[str]
@@ -76,8 +87,12 @@ def centred_on_ticker(frame: DataFrame, columns: list[str]) -> DataFrame:
         *[(F.col(c) - F.col(f"_{c}")).alias(f"c_{c}") for c in names])
 
 
-def fit(frame: DataFrame, columns: list[str]) -> Fit:
-    centred = centred_on_ticker(frame, columns)
+def moments(frame: DataFrame | Moments, columns: list[str]) -> Moments:
+    """One pass over the rows for all models whose columns are among `columns`."""
+    if isinstance(frame, Moments):
+        return frame
+    # The residuals of every model are taken from these rows again.
+    centred = checkpointed(centred_on_ticker(frame, columns))
     names = ["c_y", *[f"c_{c}" for c in columns]]
     upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = centred.agg(F.count(F.lit(1)).alias("n"), (F.var_pop("y") * F.count("y")).alias("tss"),
@@ -86,10 +101,17 @@ def fit(frame: DataFrame, columns: list[str]) -> Fit:
     gram = np.zeros((len(names), len(names)))
     for i, j in upper:
         gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(gram[1:, 1:], rcond=1e-13, hermitian=True)
-    slopes = inverse @ gram[1:, 0]
-    rss = gram[0, 0] - slopes @ gram[1:, 0]
-    return Fit(columns, slopes, float(1.0 - rss / sums["tss"]), sums["n"], inverse, centred)
+    return Moments(columns, gram, sums["tss"], sums["n"], centred)
+
+
+def fit(frame: DataFrame | Moments, columns: list[str]) -> Fit:
+    sums = moments(frame, columns)
+    places = [sums.columns.index(c) + 1 for c in columns]
+    inverse = np.linalg.pinv(sums.gram[np.ix_(places, places)], rcond=1e-13, hermitian=True)
+    against_y = sums.gram[places, 0]
+    slopes = inverse @ against_y
+    rss = sums.gram[0, 0] - slopes @ against_y
+    return Fit(columns, slopes, float(1.0 - rss / sums.tss), sums.n, inverse, sums.centred)
 
 
 def newey_west(model: Fit, lags: int = LAGS) -> np.ndarray:
@@ -116,10 +138,11 @@ def newey_west(model: Fit, lags: int = LAGS) -> np.ndarray:
     return model.inverse @ (m + m.T) @ model.inverse
 
 
-def nested_test(frame: DataFrame, base: list[str], full: list[str], label: str,
+def nested_test(frame: DataFrame | Moments, base: list[str], full: list[str], label: str,
                 lags: int = LAGS) -> dict:
     """Wald chi-square that the columns of `full` absent from `base` are jointly zero."""
-    small, big = fit(frame, base), fit(frame, full)
+    sums = moments(frame, full)
+    small, big = fit(sums, base), fit(sums, full)
     covariance = newey_west(big, lags)
     added = [i for i, c in enumerate(full) if c not in base]
     block = big.slopes[added]
@@ -133,7 +156,7 @@ def nested_test(frame: DataFrame, base: list[str], full: list[str], label: str,
     }
 
 
-def coefficient_table(frame: DataFrame, columns: list[str], shown: list[str],
+def coefficient_table(frame: DataFrame | Moments, columns: list[str], shown: list[str],
                       lags: int = LAGS) -> list[dict]:
     model = fit(frame, columns)
     errors = np.sqrt(np.diag(newey_west(model, lags)))
@@ -146,15 +169,15 @@ def coefficient_table(frame: DataFrame, columns: list[str], shown: list[str],
     return rows
 
 
-def contrasts(frame: DataFrame, lags: int = LAGS) -> list[dict]:
+def contrasts(frame: DataFrame | Moments, lags: int = LAGS) -> list[dict]:
     """Text against prices; the same beside the regime; text under stress against text."""
-    frame = with_interactions(frame)
-    crossed = [f"{c}_x_stressed" for c in TEXT]
-    level = [*HAR, "stressed"]
+    level, crossed = [*HAR, "stressed"], [f"{c}_x_stressed" for c in TEXT]
+    sums = moments(frame if isinstance(frame, Moments) else with_interactions(frame),
+                   level + TEXT + crossed)
     return [
-        nested_test(frame, HAR, HAR + TEXT, "N1 - N0", lags),
-        nested_test(frame, level, level + TEXT, "N1 - N0 given regime", lags),
-        nested_test(frame, level + TEXT, level + TEXT + crossed, "N2 - N1", lags),
+        nested_test(sums, HAR, HAR + TEXT, "N1 - N0", lags),
+        nested_test(sums, level, level + TEXT, "N1 - N0 given regime", lags),
+        nested_test(sums, level + TEXT, level + TEXT + crossed, "N2 - N1", lags),
     ]
 
 
@@ -180,7 +203,8 @@ def renumbered(frame: DataFrame) -> DataFrame:
 
 def in_sample_contributions(frame: DataFrame, block: list[str]) -> DataFrame:
     """Squared error each row saves in sample when `block` joins the price columns."""
-    small, big = fit(frame, HAR), fit(frame, HAR + block)
+    sums = moments(frame, HAR + block)
+    small, big = fit(sums, HAR), fit(sums, HAR + block)
     both = big.centred.withColumn("e_text", big.residual()).withColumn("e_har", small.residual())
     return both.select("position", "ticker", "session_date", "stressed",
                        (F.col("e_har") ** 2 - F.col("e_text") ** 2).alias("gain"))

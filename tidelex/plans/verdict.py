@@ -13,11 +13,12 @@ def contrast_report(signals: DataFrame, panel: DataFrame) -> dict[str, DataFrame
     frame = checkpointed(regress.build_frame(signals, panel))
     crossed = [f"{c}_x_stressed" for c in regress.TEXT]
     shown = [*regress.TEXT, *crossed]
-    coefficients = regress.coefficient_table(
-        regress.with_interactions(frame), [*regress.HAR, "stressed", *shown], shown)
+    columns = [*regress.HAR, "stressed", *shown]
+    sums = regress.moments(regress.with_interactions(frame), columns)
+    coefficients = regress.coefficient_table(sums, columns, shown)
     return {
         "cells": regime.regime_crosstab(frame),
-        "contrasts": regress.as_rows(frame, regress.contrasts(frame), regress.CONTRAST_SCHEMA),
+        "contrasts": regress.as_rows(frame, regress.contrasts(sums), regress.CONTRAST_SCHEMA),
         "coefficients": regress.as_rows(frame, coefficients, regress.COEFFICIENT_SCHEMA),
         "within_regimes": regress.as_rows(frame, regress.within_regimes(frame),
                                           regress.CONTRAST_SCHEMA),
