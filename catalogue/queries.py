@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,9 @@ from tidelex.functions import clock, fingerprint, text
 from tidelex.operators import (
     align, digest, forecast, neardup, ordered, quota, regime, regress, rollup, sampling)
 from tidelex.plans import committee
+from tidelex.session import shared_folder
 from tidelex.sources import answers, ledger as ledgers
+from tidelex.streaming import ledger_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -407,14 +410,30 @@ def cache_to_pay(spark, sf):
     return answers.to_pay(requests, stored).select("doc_id", "replicate")
 
 
-@query("ledger_total", f"""WITH {o.LEDGER}
+_TOTALS = f"""WITH {o.LEDGER}
 SELECT event_type, count(*) AS calls, CAST(sum(coalesce(
   TRY_CAST(CASE WHEN cost_usd <> '' THEN cost_usd ELSE cout_usd END AS DOUBLE), 0)) AS DOUBLE)
-  AS cost FROM ledger GROUP BY ALL""")
+  AS cost_usd FROM ledger GROUP BY ALL"""
+
+
+@query("ledger_total", _TOTALS)
 def ledger_total(spark, sf):
     rows = tb.ledger(spark, sf)
     return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum(ledgers.row_cost(rows)).alias("cost"))
+        F.count(F.lit(1)).alias("calls"), F.sum(ledgers.row_cost(rows)).alias("cost_usd"))
+
+
+@query("ledger_stream_total", _TOTALS)
+def ledger_stream_total(spark, sf):
+    """The same totals kept by a streaming query that reads each file once."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def publish(frame, _):
+        frame.write.mode("overwrite").parquet(f"{folder}/totals")
+
+    totals = ledger_totals.running_total(tb.ledger_stream(spark, sf), ["event_type"])
+    ledger_totals.follow(totals, f"{folder}/progress", publish, once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/totals")
 
 
 @query("rate_window", f"""WITH {o.LEDGER}, timed AS (

@@ -150,7 +150,18 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as ledger rows: text costs, a legacy cost column, and an unparsable cost."""
-    return table(spark, sf_dir, "events").select(
+    return as_ledger(table(spark, sf_dir, "events"))
+
+
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return as_ledger(files.parquet(sf_dir))
+
+
+def as_ledger(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.expr("cast(ts as timestamp)").alias("stamp"), "event_type",
         F.expr("concat('m', user_id % 50)").alias("mandate"),
         F.expr("cast(round(value * 100) as bigint)").alias("tokens"),

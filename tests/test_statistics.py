@@ -254,3 +254,40 @@ def test_tails():
                             9.487729036781154, 11.070497693516351, 12.591587243743977), 1):
         assert tails.chi2_tail(x, df) == pytest.approx(.05, rel=1e-9)
     assert tails.chi2_tail(0.0, 3) == 1.0
+
+
+def test_report_commands_run_on_stored_tables(spark, tmp_path, monkeypatch):
+    from tidelex.plans import cli
+    rng = np.random.default_rng(4)
+    n = 200
+    days = pd.bdate_range("2021-01-04", periods=n).date
+    prices = pd.concat([pd.DataFrame({
+        "ticker": t, "session_date": days, "rv_gk": rng.uniform(1e-5, 1e-3, n),
+        "tone": 9.0, **{c: rng.normal(size=n) for c in ["y", *regress.HAR]}}) for t in "AB"])
+    read = pd.concat([pd.DataFrame({
+        "ticker": t, "session": [str(d) for d in days],
+        **{c: rng.normal(size=n) for c in regress.TEXT}}) for t in "AB"])
+    spark.createDataFrame(prices).write.parquet(f"{tmp_path}/panel.parquet")
+    for tag, part in (("late", read[n // 2:]), ("early", read[:n // 2])):
+        spark.createDataFrame(part).write.parquet(f"{tmp_path}/signals_{tag}.parquet")
+    monkeypatch.setenv("TIDELEX_DATA_DIR", str(tmp_path))
+    monkeypatch.setenv("TIDELEX_RESULTS_DIR", str(tmp_path))
+    tables = cli.main(["contrast", "--signals", "late", "early"], spark)
+    cells = tables["cells"].collect()
+    rows = sum(r["calm"] + r["stressed"] for r in cells)
+    assert rows == 2 * (n - 21)
+    assert [r["n"] for r in tables["contrasts"].collect()] == [rows] * 3
+    assert tables["coefficients"].count() == 6
+    inside = tables["within_regimes"].collect()
+    assert sum(r["n"] for r in inside) == rows
+    # Tags are read in the order named, a shadowed panel column does not replace the signal.
+    both = spark.createDataFrame(read).withColumn("tag_order", F.lit(0))
+    frame = regress.build_frame(both, spark.createDataFrame(prices)).toPandas()
+    assert frame["tone"].abs().max() < 9 and (frame["tone_panel"] == 9).all()
+    assert frame.sort_values("position")["ticker"].is_monotonic_increasing
+    tables = cli.main(["oos", "--signals", "late", "early", "--min-train", "60"], spark)
+    by_sample = {r["sample"]: r["n"] for r in tables["clark_west"].collect()}
+    assert by_sample["all"] == by_sample["calm"] + by_sample["stressed"] == rows - 120
+    assert {r["dropped"]: r["n"] for r in tables["without_best"].collect()} == {
+        5: rows - 125, 10: rows - 130}
+    assert tables["in_sample_without_best"].first()["n"] == rows - 10

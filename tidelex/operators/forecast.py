@@ -99,13 +99,12 @@ def without_best(rows: DataFrame, value: str, k: int, order: list[str]) -> DataF
 
 def concentration(rows: DataFrame, value: str, order: list[str], top: int = 5) -> DataFrame:
     """Kish n, rows, share of the top rows in the total gain, and rows with a negative gain."""
-    whole = rows.agg(effective_n(F.col(value)).alias("effective_n"),
-                     F.count(F.lit(1)).alias("n"), F.sum(value).alias("_total"),
-                     F.count_if(F.col(value) < 0).alias("worse"))
-    head = best(rows, value, top, order).agg(F.sum(value).alias("_head"))
-    # One row on each side.
-    return whole.crossJoin(head).select(
-        "effective_n", "n", (F.col("_head") / F.col("_total")).alias(f"top{top}_share"), "worse")
+    # `top` rows, a constant of the report.
+    head = F.broadcast(best(rows, value, top, order).select(*order, F.lit(True).alias("_head")))
+    share = F.sum(F.when(F.col("_head"), F.col(value))) / F.sum(value)
+    return rows.join(head, order, "left").agg(
+        effective_n(F.col(value)).alias("effective_n"), F.count(F.lit(1)).alias("n"),
+        share.alias(f"top{top}_share"), F.count_if(F.col(value) < 0).alias("worse"))
 
 
 def retest_without_best(forecasts: DataFrame, drops: tuple[int, ...] = (5, 10)) -> DataFrame:

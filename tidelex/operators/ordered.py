@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidelex.session import checkpointed
+
 #: Rows per chunk of a numbered key.
 CHUNK = 8192
 
@@ -30,9 +32,16 @@ def with_global_position(df: DataFrame, key: str, order: list[str], bucket: Colu
     """Place of each row in the order (key, order) over the whole table."""
     inside = with_position(df, [key], order, bucket, "_inside")
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per key: the only thing a single task sees.
-    first = sizes.select(key, F.coalesce(F.sum("_n").over(
-        Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    # Keys are ordered by range partitions: sums inside each, and one total per partition before
+    # it. The partition numbers are stored, since sampled bounds may differ when planned again.
+    ranged = checkpointed(sizes.repartitionByRange(key)
+                          .withColumn("_range", F.spark_partition_id()))
+    starts = running_totals(ranged, [], "_range", {"_start": F.sum("_n")})
+    before = (Window.partitionBy("_range").orderBy(key)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    first = (ranged.withColumn("_local", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+             .join(starts, "_range")
+             .select(key, (F.col("_start") + F.col("_local")).alias("_first")))
     return (inside.join(first, key).withColumn(name, F.col("_first") + F.col("_inside"))
             .drop("_first", "_inside"))
 
@@ -86,7 +95,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float,
     counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_bucket", F.floor(F.log(F.greatest(F.col(value), F.lit(1e-300)))
-                                              * 256)))
+                                              * 4096)))
     starts = running_totals(counted, keys, "_bucket", {"_before": F.sum("_n")})
     upto = (Window.partitionBy(*keys, "_bucket").orderBy(value)
             .rowsBetween(Window.unboundedPreceding, 0))

@@ -44,28 +44,31 @@ def price(units: DataFrame, arm: Arm, answers: DataFrame, tier: str = "analyst",
           seat: str = "analyst_fundamentals") -> DataFrame:
     """One row before anything is sent: units, units with a document, units whose first call is
     not stored, calls to pay, and the upper median and maximum of the digest length."""
-    probe = units.where(F.col("n_documents") > 0).select(
-        *KEY, F.col("digest_sha256").alias("context_sha"), F.length("digest").alias("chars"))
-    keyed = probe.withColumn("cache_key", arm.key(tier, seat))
-    missing = keyed.join(answers.select("cache_key", F.lit(True).alias("stored")), "cache_key",
-                         "left")
     calls = committee.calls_per_unit(arm.debate_rounds, arm.panel_rounds) if tier == "analyst" else 1
-    counts = units.agg(F.count(F.lit(1)).alias("units"),
-                       F.count_if(F.col("n_documents") > 0).alias("with_document"))
-    to_pay = missing.agg(F.count_if(F.col("stored").isNull()).alias("units_to_pay"),
-                         F.max("chars").alias("digest_max"))
-    # The element at place n div 2 of the sorted lengths: lengths are counted first, and no digest
-    # is longer than its budget, so the table of lengths has a fixed size.
-    lengths = probe.groupBy("chars").agg(F.count(F.lit(1)).alias("n"))
-    steps = lengths.agg(F.array_sort(F.collect_list(F.struct("chars", "n"))).alias("steps"),
-                        F.floor(F.sum("n") / 2).alias("place"))
-    median = steps.select(F.expr(
+    filled = F.col("n_documents") > 0
+    stored = answers.select("cache_key", F.lit(True).alias("stored"))
+    # Units are counted per digest length first. No digest is longer than its budget, so the table
+    # of lengths has a fixed size.
+    lengths = (
+        units.select(*KEY, "n_documents", F.col("digest_sha256").alias("context_sha"),
+                     F.length("digest").alias("chars"))
+        .withColumn("cache_key", F.when(filled, arm.key(tier, seat)))
+        .join(stored, "cache_key", "left")
+        .groupBy("chars").agg(
+            F.count(F.lit(1)).alias("units"), F.count_if(filled).alias("with_document"),
+            F.count_if(filled & F.col("stored").isNull()).alias("units_to_pay")))
+    held = F.when(F.col("with_document") > 0, F.struct("chars", "with_document"))
+    total = lengths.agg(
+        *[F.sum(c).alias(c) for c in ("units", "with_document", "units_to_pay")],
+        F.array_sort(F.collect_list(held)).alias("steps"))
+    median = F.expr(
         "aggregate(steps, struct(cast(null as int) as at, cast(0 as bigint) as seen), "
-        "(a, s) -> struct(if(a.at is null and a.seen + s.n > place, s.chars, a.at) as at, "
-        "a.seen + s.n as seen)).at").alias("digest_median"))
-    # One row each.
-    return (counts.crossJoin(to_pay).crossJoin(median)
-            .withColumn("calls_to_pay", F.col("units_to_pay") * calls))
+        "(a, s) -> struct(if(a.at is null and a.seen + s.with_document > with_document div 2, "
+        "s.chars, a.at) as at, a.seen + s.with_document as seen)).at")
+    return total.select(
+        "units", "with_document", "units_to_pay",
+        F.try_element_at("steps", F.lit(-1))["chars"].alias("digest_max"),
+        median.alias("digest_median"), (F.col("units_to_pay") * calls).alias("calls_to_pay"))
 
 
 @dataclass
@@ -148,10 +151,13 @@ def run(units: DataFrame, arm: Arm, answers: DataFrame, ask=None,
 
 def report(raw: DataFrame, signals: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows, units kept and dropped, billed calls, cost and cost per kept unit."""
-    totals = [raw.agg(F.count(F.lit(1)).alias("raw_rows"), F.sum("calls").alias("billed_calls"),
-                      F.sum("cost_usd").alias("cost_usd")),
-              signals.agg(F.count(F.lit(1)).alias("combined_units")),
-              dropped.agg(F.count(F.lit(1)).alias("rejected_units"))]
-    # One row each.
-    return reduce(lambda a, b: a.crossJoin(b), totals).withColumn(
+    parts = [
+        raw.select(F.lit(1).alias("raw_rows"), "calls", "cost_usd"),
+        signals.select(F.lit(1).alias("combined_units")),
+        dropped.select(F.lit(1).alias("rejected_units"))]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+          for c in ("raw_rows", "combined_units", "rejected_units")],
+        F.sum("calls").alias("billed_calls"), F.sum("cost_usd").alias("cost_usd")).withColumn(
         "cost_per_unit", F.col("cost_usd") / F.greatest(F.lit(1), F.col("combined_units")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidelex.operators import forecast, regime, regress
 from tidelex.session import checkpointed
@@ -37,7 +37,8 @@ def forecast_report(signals: DataFrame, panel: DataFrame,
         "without_best": forecast.retest_without_best(ahead),
         "in_sample_concentration": forecast.concentration(saved, "gain", ["position"]),
         "in_sample_without_best": regress.as_rows(
-            frame, [in_sample_retest(frame, saved)], regress.CONTRAST_SCHEMA),
+            frame, [in_sample_retest(frame, saved)], regress.CONTRAST_SCHEMA)
+        .withColumn("still_significant", F.col("p_hac") < 0.05),
     }
 
 

@@ -31,14 +31,12 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, it is {zone}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from `spark.checkpoint.dir`.
 
-    The folder comes from `spark.checkpoint.dir`. A temporary one is made only for a local
-    master; on a cluster an unset folder is an error, since a machine-local path would be lost
-    with its machine.
+    A temporary one is made only for a local master; on a cluster an unset folder is an error,
+    since a machine-local path would be lost with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,4 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="tidelex-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
