@@ -12,7 +12,7 @@ from tidelex.functions import clock, fingerprint, text
 from tidelex.operators import (
     align, digest, forecast, neardup, ordered, quota, regime, regress, rollup, sampling)
 from tidelex.plans import committee
-from tidelex.session import shared_folder
+from tidelex.session import checkpointed, shared_folder
 from tidelex.sources import answers, ledger as ledgers
 from tidelex.streaming import ledger_totals
 
@@ -492,7 +492,8 @@ def call_costs(spark, sf):
 
 
 def _frame(spark, sf):
-    return regress.build_frame(tb.signals(spark, sf), tb.panel(spark, sf))
+    cells = checkpointed(tb.cells(spark, sf))
+    return regress.build_frame(tb.signals_of(cells), tb.panel_of(cells))
 
 
 @query("signals_panel_join", f"WITH {o.FRAME} SELECT CAST(position AS BIGINT) AS position, "

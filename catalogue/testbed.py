@@ -63,6 +63,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel_of(cells(spark, sf_dir))
+
+
+def panel_of(weekly: DataFrame) -> DataFrame:
     """Garman-Klass variance per cell and its HAR components; 357 weeks per ticker."""
     high_low = F.log(F.col("high") / F.col("low"))
     close_open = F.log(F.col("close") / F.col("open"))
@@ -70,16 +74,16 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = Window.partitionBy("ticker").orderBy("session_date")
     # The engine expects a stored price table: cut here, lineitem is scanned once per query.
     return checkpointed(
-        cells(spark, sf_dir).select("ticker", "session_date", F.nullif(rv, F.lit(0.0)).alias("rv_gk"))
+        weekly.select("ticker", "session_date", F.nullif(rv, F.lit(0.0)).alias("rv_gk"))
         .select("ticker", "session_date", F.lead(F.log("rv_gk")).over(weeks).alias("y"),
                 F.log("rv_gk").alias("ln_rv_d"),
                 F.log(F.avg("rv_gk").over(weeks.rowsBetween(-4, 0))).alias("ln_rv_w"),
                 F.log(F.avg("rv_gk").over(weeks.rowsBetween(-21, 0))).alias("ln_rv_m"), "rv_gk"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals_of(weekly: DataFrame) -> DataFrame:
     """Text columns per cell, from exact integer sums."""
-    return cells(spark, sf_dir).select(
+    return weekly.select(
         "ticker", F.date_format("session_date", "yyyy-MM-dd").alias("session"),
         (F.col("discounts") / F.col("n") / 5.0 - 1.0).alias("tone"),
         (F.col("taxes") / F.col("n") / 8.0).alias("ambiguity"),

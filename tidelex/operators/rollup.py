@@ -7,7 +7,7 @@ all tiers, so a unit is shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEY = ["ticker", "session", "replicate"]
 
@@ -161,16 +161,33 @@ def fill_empty_units(units: DataFrame, measured: DataFrame, key: list[str] = KEY
 
 
 def combine_replicates(rows: DataFrame, k_required: int) -> DataFrame:
-    """Median over replicates of units with exactly `k_required` failure-free rows."""
+    """Median over replicates of units with exactly `k_required` failure-free rows.
+
+    One row more than required already shows that a unit is not complete, so no more are sent and
+    the lists the medians are read from hold at most that many.
+    """
     fields = [f for f in MEDIAN_FIELDS if f in rows.columns]
-    return (
-        rows.where(F.col("n_failures") == 0).groupBy("ticker", "session")
+    numbered = Window.partitionBy("ticker", "session").orderBy("replicate")
+    usable = (rows.where(F.col("n_failures") == 0)
+              .withColumn("_nth", F.row_number().over(numbered))
+              .where(F.col("_nth") <= k_required + 1))
+    units = (
+        usable.groupBy("ticker", "session")
         .agg(F.first("has_document").alias("has_document"),
              F.first("n_documents").cast("long").alias("n_documents"),
              F.count(F.lit(1)).alias("replicates_used"),
              F.sum("calls").cast("long").alias("calls"), F.sum("cost_usd").alias("cost_usd"),
-             *[F.median(F.col(f).cast("double")).alias(f) for f in fields])
+             F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in fields]))
+             .alias("_rows"))
         .where(F.col("replicates_used") == k_required))
+    return units.select(
+        "ticker", "session", "has_document", "n_documents", "replicates_used", "calls",
+        "cost_usd", *[_middle(F.col("_rows")[f], k_required).alias(f) for f in fields])
+
+
+def _middle(values: Column, n: int) -> Column:
+    ordered, half = F.sort_array(values), n // 2
+    return ordered[half] if n % 2 else (ordered[half - 1] + ordered[half]) / 2
 
 
 def dropped_units(rows: DataFrame, k_required: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidelex.operators.ordered import with_position
 from tidelex.operators.regime import classify_panel, month_of
+from tidelex.session import checkpointed
 
 # Fixed value: the seed of the draw.
 SEED = 20260808
@@ -67,10 +68,9 @@ def draw(panel: DataFrame, per_ticker: int, balance: float = 0.5, seed: int = SE
     in_year = Window.partitionBy("ticker", "stressed", "year").orderBy("draw_key")
     # No year gives more than its quota plus a full top-up: a constant limit Spark applies before
     # the shuffle.
-    ranked = (marked.withColumn("rank", F.row_number().over(in_year))
-              .where(F.col("rank") <= 2 * most)
-              .join(years, "ticker")
-              .withColumn("want", want).withColumn("quota", quota))
+    ranked = checkpointed(
+        marked.withColumn("rank", F.row_number().over(in_year)).where(F.col("rank") <= 2 * most)
+        .join(years, "ticker").withColumn("want", want).withColumn("quota", quota))
     taken = ranked.where(F.col("rank") <= F.col("quota"))
     sizes = taken.groupBy("ticker", "stressed").agg(F.count(F.lit(1)).alias("taken"))
     spare = Window.partitionBy("ticker", "stressed").orderBy("draw_key")
