@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalogue import oracles as o, testbed as tb
 from tidelex.functions import clock, fingerprint, text
 from tidelex.operators import (
-    align, digest, forecast, neardup, ordered, quota, regime, regress, rollup, sampling)
+    align, digest, neardup, ordered, quota, regime, regress, rollup, sampling)
 from tidelex.plans import committee
 from tidelex.session import checkpointed, shared_folder
 from tidelex.sources import answers, ledger as ledgers

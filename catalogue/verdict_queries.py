@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalogue import oracles as o
 from catalogue.queries import _frame, query, rounded
 from tidelex.operators import forecast, regress
