@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import html_text, warc, weighted_sketch
+from . import html_text, packing, warc, weighted_sketch
+
+
+def tokenizer_path() -> str:
+    """The vocabulary the packing query names, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +28,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sketch.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op7_fingerprints)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op7_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {}
