@@ -6,10 +6,11 @@ import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tidelex.session import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "components", "fresh_folder", "mixed", "partitions_for", "read",
+__all__ = ["checkpointed", "components", "extended", "fresh_folder", "mixed", "partitions_for", "read",
            "row_key", "text_key", "text_or_empty"]
 
 
@@ -31,6 +32,11 @@ def text_key(column: Column) -> Column:
     return F.unhex(F.md5(column))
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of `df` with the columns of `ddl` after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def row_key(df: DataFrame, name: str) -> DataFrame:
     """Checkpoint `df`, then number its rows: the numbers stay the same on every later read."""
     return checkpointed(df).withColumn(name, F.monotonically_increasing_id())

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import extended
+
 # Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math noembed noframes "
@@ -241,8 +243,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """
     keep = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
     narrow = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
-    schema = narrow.drop("__html").schema.add(text_col, "string", False).add("n_chars", "long",
-                                                                             False)
+    schema = extended(narrow.drop("__html"), f"`{text_col}` string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
