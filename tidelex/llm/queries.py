@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import decontaminate, html_text, packing, warc, weighted_sketch
+from . import decontaminate, html_text, packing, secrets, warc, weighted_sketch
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", "n_chars")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sketch.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op7_fingerprints, op8_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op4_secrets, op7_fingerprints, op8_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}
