@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import decontaminate, html_text, packing, secrets, warc, weighted_sketch
+from . import decontaminate, html_text, packing, secrets, toxicity, warc, weighted_sketch
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sketch.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op4_secrets, op7_fingerprints, op8_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op4_secrets, op6_toxicity, op7_fingerprints, op8_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}
