@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import decontaminate, html_text, packing, secrets, toxicity, warc, weighted_sketch
+from . import (byte_passages, decontaminate, html_text, packing, secrets, toxicity, warc,
+               weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -28,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op5_byte_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_passages.report(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,9 +45,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_word_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_passages.report(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_html_text, op4_secrets, op6_toxicity, op7_fingerprints, op8_decontamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity, op7_fingerprints,
+    op8_decontamination, op9_word_passages, op10_packing)}
 ORACLES: dict[str, str] = {}
