@@ -77,10 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
         turned = checkpointed(small.unionByName(low.withColumnRenamed("m", "b"))
                               .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                               .distinct())
-        # Stars all the way: no node points at a node that points further down.
-        deeper = (turned.where("a <> b").select(F.col("b").alias("x")).distinct()
-                  .join(turned.where("a <> b").select(F.col("a").alias("x")), "x", "left_semi"))
-        done = deeper.isEmpty()
+        # Stars all the way: a node points at one node, and that one points no further.
+        arcs = turned.where("a <> b")
+        forked = arcs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        deeper = (arcs.select(F.col("b").alias("x")).distinct()
+                  .join(arcs.select(F.col("a").alias("x")), "x", "left_semi"))
+        done = forked.isEmpty() and deeper.isEmpty()
         edges = turned
         if done:
             break

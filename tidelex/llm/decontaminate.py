@@ -145,3 +145,15 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                         text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that hold a window of an item."""
+    extra = {"n_words", "n_hit", "spans", "items"}.intersection(docs.columns)
+    held = docs.select(*[F.col(c).alias(f"__{c}" if c in extra else c) for c in docs.columns],
+                       F.col(text_col).alias("__whole"))
+    found = contamination(held, benchmark, window, text_col=text_col).where("n_hit = 0")
+    return found.select(*[F.col("__whole").alias(c) if c == text_col else
+                          F.col(f"__{c}").alias(c) if c in extra else F.col(c)
+                          for c in docs.columns])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import (byte_passages, decontaminate, html_text, packing, secrets, toxicity, warc,
-               weighted_sketch, word_passages)
+from . import (byte_passages, decontaminate, html_text, ngram_join, packing, secrets, toxicity,
+               warc, weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(read(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(read(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", "n_chars")
@@ -54,6 +58,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity, op7_fingerprints,
-    op8_decontamination, op9_word_passages, op10_packing)}
+    op1_warc, op2_ngram_join, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity,
+    op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing)}
 ORACLES: dict[str, str] = {}
