@@ -438,3 +438,30 @@ def test_budget_error_is_raised_by_the_asking_stage(spark, project):
     with pytest.raises(BudgetExceeded):
         campaign.run(units, arm, committee.no_answers(spark),
                      campaign.Asking(spark, arm, fake(), config), single=True)
+
+
+@pytest.mark.parametrize("body", [
+    '{"relevance": ' + "1" * 400 + "}", '{"a":' * 100_000 + "1" + "}" * 100_000, "[" * 100_000])
+def test_no_answer_ends_a_job(body):
+    fields, reason = replies.validate(replies.find_object(body), "analyst")
+    assert fields is None and reason
+
+
+def test_a_share_below_one_call_admits_nothing():
+    from tidelex.functions.governor import Limits, RateGovernor
+
+    with pytest.raises(ValueError, match="no call"):
+        RateGovernor(Limits(requests_per_minute=5).share(5)).reserve(10)
+
+
+def test_placeholders_in_any_white_space_are_blank(spark):
+    df = spark.createDataFrame([("\tN/A\n",), (" none ",), ("kept",)], "t string")
+    got = [r[0] for r in df.select(replies.blank_if_nullish(df.t, 10)).collect()]
+    assert got == ["", "", "kept"]
+
+
+def test_printed_reports_are_whole(spark, capsys):
+    from tidelex.plans.cli import print_all
+
+    print_all(spark.range(1500).toDF("n"))
+    assert capsys.readouterr().out.split() == ["n", *map(str, range(1500))]

@@ -117,15 +117,23 @@ def run_arm(spark: SparkSession, args, endpoint: Endpoint | None = None) -> bool
     return True
 
 
+def print_all(table: DataFrame) -> None:
+    """Print every row, as they come to the driver one partition at a time."""
+    print("\t".join(table.columns))
+    for row in table.toLocalIterator():
+        print("\t".join("" if value is None else str(value) for value in row))
+
+
 def run_sample(spark: SparkSession, args) -> dict:
     prices = panel.load_panel(spark, configured(args).data_dir)
     manifest = panel.save_perimeter(sampling.draw(prices, args.per_ticker, args.balance),
                                     args.out, args.per_ticker, args.balance)
     frame, _ = panel.load_perimeter(spark, args.out)
     table = sampling.sample_table(frame)
-    table.groupBy("ticker").pivot("year").agg(
+    wide = table.groupBy("ticker").pivot("year").agg(
         F.first("sessions").alias("sessions"), F.first("stressed").alias("stressed")
-    ).na.fill(0).orderBy("ticker").show(1000, truncate=False)
+    ).na.fill(0).orderBy("ticker")
+    print_all(wide)
     print(manifest)
     return manifest
 
@@ -138,7 +146,7 @@ def run_verdict(spark: SparkSession, args) -> dict[str, DataFrame]:
               else verdict.forecast_report(read, prices, args.min_train))
     for name, table in tables.items():
         print(f"-- {name}")
-        table.show(truncate=False)
+        print_all(table)
     return tables
 
 
