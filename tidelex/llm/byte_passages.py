@@ -23,19 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, mixed, text_key, text_or_empty
+from .common import checkpointed, text_key, text_or_empty
 from .passages import Rule, removed, repeated
+from .winnow import BYTES
 
 WINDOW = 400
 GRAM = 272
 LEAST = WINDOW - GRAM + 1
 #: Stands for a null id inside this module.
 NO_ID = -(1 << 63)
-_TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _symbols(text: bytes) -> tuple:
-    return text, _TABLE[np.frombuffer(text, np.uint8)]
+def _symbols(text: bytes) -> np.ndarray:
+    return BYTES[np.frombuffer(text, np.uint8)]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -116,8 +116,8 @@ def _payload(text: bytes, first: int, last: int, place: int) -> bytes:
 
 def rule() -> Rule:
     origin = F.xxhash64("key", "first")
-    return Rule(window=WINDOW, gram=GRAM, symbols=_symbols, origin=origin, rank=origin,
-                repeats=lambda rank, low, high: low != high, payload=_payload, shard=_shard)
+    return Rule(window=WINDOW, gram=GRAM, units=bytes, symbols=_symbols, origin=origin,
+                rank=origin, repeats=lambda rank, low, high: low != high, payload=_payload, shard=_shard)
 
 
 def deduplicate(docs: DataFrame, describe, whole, nothing, ddl: str, id_col: str = "doc_id",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
 from .common import checkpointed, extended, row_key, text_or_empty
-from .winnow import Rolling, WordHashes, anchors
+from .winnow import Rolling, anchors, word_symbols
 
 WINDOW = 10
 GRAM = 5
@@ -32,9 +32,16 @@ _LETTERS = bytes(
     for b in range(256))
 
 
+_INSIDE = np.arange(256) != 32
+
+
+def plain(text: bytes) -> bytes:
+    """A-Z in lower case, spaces for all that no word holds: ASCII but letters and digits."""
+    return text.translate(_LETTERS)
+
+
 def words_of(text: bytes) -> list[bytes]:
-    """Words of ASCII letters, digits and any other character, A-Z in lower case."""
-    return text.translate(_LETTERS).split()
+    return plain(text).split()
 
 
 def _items(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -44,15 +51,15 @@ def _items(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Dat
                             F.encode(text_or_empty(F.col(text_col)), "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
+                text = plain(text)
+                words = text.split()
                 size = min(len(words), window)
                 if not size:
                     continue
-                rolling = Rolling(known.array(words))
+                rolling = Rolling(word_symbols(text, _INSIDE))
                 if len(words) < window:
                     codes = rolling.of([0], [size])
                 else:
@@ -90,16 +97,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                                 ("window", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         long_bits, short_bits = filters.value
         for batch in batches:
             counts, hits = [], []
             for text in batch.column("__text").to_pylist():
-                words = words_of(text)
-                counts.append(len(words))
+                text = plain(text)
+                codes = word_symbols(text, _INSIDE)
+                counts.append(len(codes))
                 at: list[tuple[int, int]] = []
-                if words:
-                    rolling = Rolling(known.array(words))
+                if len(codes):
+                    rolling = Rolling(codes)
                     grams = rolling.grams(GRAM)
                     place, first, last = anchors(grams, window - GRAM + 1)
                     for i in np.flatnonzero(bloom.passes(long_bits, grams[place])):
@@ -107,6 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     for size in short_sizes:
                         starts = np.flatnonzero(bloom.passes(short_bits, rolling.grams(size)))
                         at += [(s, size) for s in starts.tolist()]
+                words = text.split() if at else []
                 hits.append([{"start": s, "size": n, "window": b" ".join(words[s:s + n])}
                              for s, n in at])
             yield pa.RecordBatch.from_arrays(

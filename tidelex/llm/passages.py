@@ -17,7 +17,7 @@ texts move twice, only those that hold shared passages, each to its own row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,17 +38,19 @@ SHARD = 2048
 class Rule:
     """How texts become symbols, and what counts as repeated.
 
-    `symbols(text)` gives (units, 64-bit symbols). `origin` and `rank` are columns of (key, id,
-    first): `origin` tells occurrences apart, the smallest `rank` marks the first. `repeats(rank,
-    low, high)` says whether an occurrence counts as repeated when its content has ranks from low
-    to high. `payload(units, first, last, place)` is what a shard needs of a context, and `shard`
-    yields (index, start, stop) of the repeated stretches of its contexts, given as (core, rank,
-    first, last, place, query, payload); contexts that are not a query are only compared with.
+    `units(text)` cuts a text, `symbols(text)` gives a 64-bit symbol for each unit. `origin` and
+    `rank` are columns of (key, id, first): `origin` tells occurrences apart, the smallest `rank`
+    marks the first. `repeats(rank, low, high)` says whether an occurrence counts as repeated when
+    its content has ranks from low to high. `payload(units, first, last, place)` is what a shard
+    needs of a context, and `shard` yields (index, start, stop) of the repeated stretches of its
+    contexts, given as (core, rank, first, last, place, query, payload); contexts that are not a
+    query are only compared with.
     """
 
     window: int
     gram: int
-    symbols: Callable[[bytes], tuple]
+    units: Callable[[bytes], Sequence]
+    symbols: Callable[[bytes], np.ndarray]
     origin: Column
     rank: Column
     repeats: Callable[[Column, Column, Column], Column]
@@ -77,7 +79,7 @@ def anchor_rows(texts: DataFrame, rule: Rule, known: np.ndarray | None = None) -
             keys, ids = batch.column("key"), batch.column("id")
             rows, columns = [], [[] for _ in range(5)]
             for row, text in enumerate(batch.column("text")):
-                found = _contexts(symbols(text.as_py())[1], window, gram)
+                found = _contexts(symbols(text.as_py()), window, gram)
                 if sent is not None:
                     ok = bloom.passes(sent.value, found[3])
                     found = [x[ok] for x in found]
@@ -117,26 +119,30 @@ def _of_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
 _WANTED = "array<struct<core:bigint,rank:bigint,first:int,last:int,place:int,query:boolean>>"
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+    """The contexts of a batch, one after the other, and the row of each."""
+    lists = batch.column("wanted")
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten()
+
+
 def _shard_rows(texts: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """The contexts `wanted` names, cut from their texts."""
     joined = _of_keys(texts, wanted).join(wanted, ["key", "id"])
-    symbols, payload = rule.symbols, rule.payload
+    units, payload = rule.units, rule.payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, text, places in zip(*[batch.column(c).to_pylist()
-                                           for c in ("key", "text", "wanted")]):
-                units = symbols(text)[0]
-                for x in places:
-                    out.append((x["core"], x["rank"], key, x["first"], x["last"], x["place"],
-                                x["query"],
-                                payload(units, x["first"], x["last"], x["place"])))
-            columns = list(zip(*out)) or [[]] * 8
+            row, x = _flat(batch)
+            texts, cut, at, out = batch.column("text"), None, -1, []
+            for own, first, last, place in zip(row.tolist(), *[
+                    x.field(c).to_pylist() for c in ("first", "last", "place")]):
+                if own != at:
+                    cut, at = units(texts[own].as_py()), own
+                out.append(payload(cut, first, last, place))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(),
-                    pa.bool_(), pa.binary()))],
+                [x.field("core"), x.field("rank"), batch.column("key").take(pa.array(row)),
+                 *[x.field(c) for c in ("first", "last", "place", "query")],
+                 pa.array(out, pa.binary())],
                 names=["core", "rank", "key", "first", "last", "place", "query", "payload"])
 
     return joined.select("key", "text", "wanted").mapInArrow(
@@ -170,20 +176,24 @@ def _one_by_one(texts: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, text, places in zip(*[batch.column(c).to_pylist()
-                                           for c in ("key", "text", "wanted")]):
-                rolling = Rolling(symbols(text)[1])
-                for x in places:
-                    at = np.arange(x["first"], x["last"] + 1)
-                    codes = rolling.of(at, at + window).view(np.int64)
-                    out += [(x["core"], int(c), x["place"] - int(s), x["rank"], key, int(s),
-                             x["query"]) for c, s in zip(codes, at)]
-            columns = list(zip(*out)) or [[]] * 7
+            row, x = _flat(batch)
+            first, last, place = [x.field(c).to_numpy().astype(np.int64)
+                                  for c in ("first", "last", "place")]
+            number = last - first + 1
+            context = np.repeat(np.arange(len(row)), number)
+            start = np.arange(len(context)) + (first - np.cumsum(number) + number)[context]
+            code, text_of = np.empty(len(context), np.int64), row[context]
+            ends = np.searchsorted(text_of, np.arange(len(batch) + 1))
+            for at, text in enumerate(batch.column("text")):
+                own = start[ends[at]:ends[at + 1]]
+                code[ends[at]:ends[at + 1]] = Rolling(symbols(text.as_py())).of(
+                    own, own + window).view(np.int64)
+            of = pa.array(context)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(),
-                    pa.bool_()))],
+                [x.field("core").take(of), pa.array(code),
+                 pa.array((place[context] - start).astype(np.int32)), x.field("rank").take(of),
+                 batch.column("key").take(pa.array(text_of)), pa.array(start.astype(np.int32)),
+                 x.field("query").take(of)],
                 names=["core", "code", "shift", "rank", "key", "start", "query"])
 
     windows = joined.select("key", "text", "wanted").mapInArrow(
@@ -207,7 +217,8 @@ def repeated(texts: DataFrame, first_ids: DataFrame, rule: Rule) -> DataFrame:
     shared = (seen.groupBy("core").agg(F.min("origin").alias("a"), F.max("origin").alias("b"))
               .where("a <> b"))
     known = bloom.build(shared, "core")
-    rows = anchor_rows(texts, rule, known).withColumn("rank", rule.rank)
+    # Read three times below, so hashed once.
+    rows = checkpointed(anchor_rows(texts, rule, known).withColumn("rank", rule.rank))
     folded = rows.groupBy("core", "ctx").agg(F.min("rank").alias("low"),
                                              F.max("rank").alias("high"))
     crowds = folded.groupBy("core").agg(F.count(F.lit(1)).alias("n"))

@@ -83,8 +83,22 @@ def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
         place = mask - np.arange(len(part), dtype=np.uint64)
         least = _least((part & ~mask) | place, width)
         chosen[at:at + len(least)] = (mask - (least & mask)).astype(np.int64) + at
-    starts = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    return chosen[starts], starts, np.r_[starts[1:], windows] - 1
+    starts = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    return chosen[starts], starts, np.concatenate([starts[1:], [windows]]) - 1
+
+
+#: A 64-bit symbol for each byte.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def word_symbols(text: bytes, inside: np.ndarray) -> np.ndarray:
+    """A 64-bit symbol for each word of `text`, in order: a word is a longest run of bytes whose
+    value is true in `inside` (256 booleans). All words are hashed at once, from prefix sums."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.zeros(len(data) + 2, np.int8)
+    edges[1:-1] = inside[data]
+    at = np.flatnonzero(np.diff(edges))
+    return Rolling(BYTES[data]).of(at[::2], at[1::2])
 
 
 class WordHashes(dict):

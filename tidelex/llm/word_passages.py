@@ -20,23 +20,25 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, text_key, text_or_empty
 from .passages import Rule, removed, repeated
-from .winnow import WordHashes
+from .winnow import word_symbols
 
 WINDOW = 13
 GRAM = 5
 #: Stands for a null id inside this module, and sorts first.
 NO_ID = -(1 << 63)
-_known = WordHashes()
+#: Bytes of words: all but the six ASCII white space characters, at which `bytes.split` cuts too.
+INSIDE = np.ones(256, bool)
+INSIDE[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def _symbols(text: bytes) -> tuple:
-    words = text.split()  # bytes split at the six ASCII white space characters
-    return words, _known.array(words)
+def _symbols(text: bytes) -> np.ndarray:
+    return word_symbols(text, INSIDE)
 
 
 class Automaton:
@@ -121,7 +123,8 @@ def _shard(contexts: list[tuple]) -> Iterator[tuple[int, int, int]]:
 
 def rule() -> Rule:
     return Rule(
-        window=WINDOW, gram=GRAM, symbols=_symbols, origin=F.xxhash64("key"), rank=F.col("id"),
+        window=WINDOW, gram=GRAM, units=bytes.split, symbols=_symbols,
+        origin=F.xxhash64("key"), rank=F.col("id"),
         repeats=lambda rank, low, high: low < rank,
         payload=lambda words, first, last, place: b" ".join(words[first:last + WINDOW]),
         shard=_shard)
