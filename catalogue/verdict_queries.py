@@ -24,7 +24,7 @@ def _ahead(spark, sf):
 @query("oos_forecasts", f"WITH {o.forecasts()} SELECT date, ticker, stressed, "
        f"{o.rounded(['e2_har', 'e2_text', 'p_har', 'p_text'])} FROM ahead")
 def oos_forecasts(spark, sf):
-    return rounded(_ahead(spark, sf).drop("gain"), ["e2_har", "e2_text", "p_har", "p_text"])
+    return rounded(_ahead(spark, sf).drop("gain", "position"), ["e2_har", "e2_text", "p_har", "p_text"])
 
 
 @query("clark_west", f"""WITH {o.forecasts()}, tests AS (
@@ -45,14 +45,14 @@ SELECT round(power(sum(gain), 2) / sum(gain * gain), 6) AS effective_n, count(*)
 FROM gains, best""")
 def kish_concentration(spark, sf):
     ahead = checkpointed(_ahead(spark, sf))
-    return rounded(forecast.concentration(ahead, "gain", ["date", "ticker"]),
+    return rounded(forecast.concentration(ahead, "gain", forecast.ROW),
                    ["effective_n", "top5_share"])
 
 
 @query("top_gains", f"WITH {o.forecasts()} SELECT date, ticker, round(gain, 6) AS gain "
        "FROM gains ORDER BY gains.gain DESC, date, ticker LIMIT 10")
 def top_gains(spark, sf):
-    best = forecast.best(_ahead(spark, sf), "gain", 10, ["date", "ticker"])
+    best = forecast.best(_ahead(spark, sf), "gain", 10, forecast.ROW)
     return rounded(best.select("date", "ticker", "gain"), ["gain"])
 
 

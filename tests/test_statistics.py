@@ -84,7 +84,10 @@ def test_positions_and_running_sums_across_chunks(spark):
     for r in summed.collect():
         assert r["position"] == r["i"]
         assert r["s"] == sum(j * j % 7 for j in range(r["i"]))
-    whole = ordered.with_global_position(frame, "k", ["i"], F.floor(F.col("i") / 10)).collect()
+    over_all = ordered.with_global_position(frame, "k", ["i"], F.floor(F.col("i") / 10))
+    whole = ordered.running_sums(over_all, [], "position", {"s": F.col("v")}, chunk=4).collect()
+    assert {r["position"]: r["s"] for r in whole} == {
+        n: sum(v for _, _, v in rows[:n]) for n in range(len(rows))}
     assert {(r["k"], r["i"]): r["position"] for r in whole} == {
         (k, i): n for n, (k, i, _) in enumerate(rows)}
     with pytest.raises(ValueError):
@@ -216,6 +219,7 @@ def test_clark_west_kish_and_drops(spark):
     rng = np.random.default_rng(2)
     data = pd.DataFrame({
         "date": pd.bdate_range("2021-01-04", periods=50).date, "ticker": "A",
+        "position": range(50),
         "stressed": (np.arange(50) % 2).astype(float), "e2_har": rng.random(50) + .05,
         "e2_text": rng.random(50), "p_har": rng.random(50), "p_text": rng.random(50)})
     df = spark.createDataFrame(data)
@@ -232,7 +236,7 @@ def test_clark_west_kish_and_drops(spark):
         assert got[name]["p_one_sided"] == pytest.approx(tails.normal_tail(by_hand(part)))
     gain = data.e2_har - data.e2_text
     row = forecast.concentration(df.withColumn("gain", forecast.gain()), "gain",
-                                 ["date", "ticker"]).first()
+                                 forecast.ROW).first()
     assert row["effective_n"] == pytest.approx(gain.sum() ** 2 / (gain ** 2).sum())
     assert row["top5_share"] == pytest.approx(gain.nlargest(5).sum() / gain.sum())
     assert row["worse"] == (gain < 0).sum()
@@ -241,6 +245,32 @@ def test_clark_west_kish_and_drops(spark):
         assert r["statistic"] == pytest.approx(by_hand(rest)) and r["n"] == len(rest)
 
 
+def test_sessions_that_overlapping_tags_repeat_are_rows_of_their_own(spark):
+    gains = [5.0, 5.0, 5.0, 1.0, -2.0]
+    data = pd.DataFrame({
+        "date": [pd.Timestamp("2021-01-04").date()] * 3 + [pd.Timestamp("2021-01-05").date()] * 2,
+        "ticker": "A", "position": range(5), "stressed": 0.0, "e2_har": [g + 3 for g in gains],
+        "e2_text": 3.0, "p_har": [0.1, 0.2, 0.3, 0.4, 0.5], "p_text": 0.0})
+    df = spark.createDataFrame(data)
+    row = forecast.concentration(df.withColumn("gain", forecast.gain()), "gain", forecast.ROW,
+                                 top=1).first()
+    assert (row["n"], row["worse"]) == (5, 1)
+    assert row["effective_n"] == pytest.approx(14 ** 2 / 80)
+    assert row["top1_share"] == pytest.approx(5 / 14)
+    left = forecast.retest_without_best(df, (1, 3)).collect()
+    assert {r["dropped"]: r["n"] for r in left} == {1: 4, 3: 2}
+
+
+def test_forecasts_with_repeated_sessions_follow_the_position(frame):
+    data, df = frame
+    twice = df.unionByName(df.withColumn("position", F.col("position") + len(data))
+                           .withColumn("y", F.col("y") + 1.0))
+    got = forecast.out_of_sample(twice.repartition(5), 60).toPandas().sort_values("position")
+    again = forecast.out_of_sample(twice.repartition(2), 60).toPandas().sort_values("position")
+    assert got["position"].is_unique and len(got) == 2 * len(data) - 3 * 60
+    np.testing.assert_allclose(got["p_text"], again["p_text"], rtol=1e-9)
+
+
 def test_kish_of_a_zero_total_is_zero(spark):
     df = spark.createDataFrame([(1.0,), (-1.0,)], "v double")
     assert df.agg(forecast.effective_n(F.col("v"))).first()[0] == 0.0

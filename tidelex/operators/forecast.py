@@ -18,6 +18,8 @@ from tidelex.session import checkpointed
 # Rows before the first forecast and the block added to the price columns.
 MIN_TRAIN = 80
 BLOCK = ["amplitude"]
+#: Names one forecast: sessions of a ticker repeat where the tags of several runs overlap.
+ROW = ["date", "ticker", "position"]
 
 
 def out_of_sample(frame: DataFrame, min_train: int = MIN_TRAIN,
@@ -26,14 +28,14 @@ def out_of_sample(frame: DataFrame, min_train: int = MIN_TRAIN,
 
     The normal equations of "all earlier rows of this ticker" are running sums of products, so no
     row looks back at its history: Spark accumulates the products and each row solves two small
-    systems.
+    systems. Rows of one session are taken in order of `position`.
     """
     terms = ["_one", *HAR, *block, "y"]
-    columns = ["ticker", "session_date", "stressed", "y", *HAR, *block]
+    columns = ["position", "ticker", "session_date", "stressed", "y", *HAR, *block]
     pairs = list(combinations_with_replacement(range(len(terms)), 2))
     placed = checkpointed(with_position(
-        frame.select(*columns), ["ticker"], ["session_date"], month_of("session_date"),
-        "at").withColumn("_one", F.lit(1.0)))
+        frame.select(*columns), ["ticker"], ["session_date", "position"],
+        month_of("session_date"), "at").withColumn("_one", F.lit(1.0)))
     summed = running_sums(placed, ["ticker"], "at", {
         f"s{i}_{j}": F.col(terms[i]) * F.col(terms[j]) for i, j in pairs})
     k, k_har = len(terms) - 1, 1 + len(HAR)
@@ -52,13 +54,13 @@ def out_of_sample(frame: DataFrame, min_train: int = MIN_TRAIN,
             actual = batch["y"].to_numpy()
             yield pd.DataFrame({
                 "date": batch["session_date"], "ticker": batch["ticker"],
-                "stressed": batch["stressed"],
+                "position": batch["position"], "stressed": batch["stressed"],
                 "e2_har": (actual - out["p_har"]) ** 2, "e2_text": (actual - out["p_text"]) ** 2,
                 **out})
 
     return summed.where(F.col("at") >= min_train).mapInPandas(
-        solve, "date date, ticker string, stressed double, e2_har double, e2_text double, "
-               "p_har double, p_text double")
+        solve, "date date, ticker string, position long, stressed double, e2_har double, "
+               "e2_text double, p_har double, p_text double")
 
 
 def gain() -> Column:
@@ -109,11 +111,10 @@ def concentration(rows: DataFrame, value: str, order: list[str], top: int = 5) -
 
 def retest_without_best(forecasts: DataFrame, drops: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Clark-West after removing the rows with the largest gain, for each number of them."""
-    order = ["date", "ticker"]
     rows = forecasts.withColumn("gain", gain())
     out = None
     for k in drops:
-        test = clark_west(without_best(rows, "gain", k, order), by_regime=False).select(
+        test = clark_west(without_best(rows, "gain", k, ROW), by_regime=False).select(
             F.lit(k).alias("dropped"), "n", "statistic", "p_one_sided",
             (F.col("p_one_sided") < 0.05).alias("still_significant"))
         out = test if out is None else out.unionByName(test)

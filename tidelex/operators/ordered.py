@@ -60,7 +60,7 @@ def running_sums(df: DataFrame, keys: list[str], position: str, sums: dict[str,
                  inclusive: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Add each expression summed over the rows before this one (or up to it)."""
     df = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
-    starts = running_totals(df, keys, "_chunk", {f"_{n}": F.sum(c) for n, c in sums.items()})
+    starts = _chunk_starts(df, keys, {f"_{n}": F.sum(c) for n, c in sums.items()}, chunk)
     upto = (Window.partitionBy(*keys, "_chunk").orderBy(position)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = df.select("*", *[
@@ -70,6 +70,23 @@ def running_sums(df: DataFrame, keys: list[str], position: str, sums: dict[str,
                     *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums]))
 
 
+def _chunk_starts(df: DataFrame, keys: list[str], sums: dict[str, Column],
+                  chunk: int) -> DataFrame:
+    """`running_totals` over chunks. Without keys, chunks are accumulated inside blocks of `chunk`
+    chunks and only the blocks as a whole: one row for each chunk * chunk rows."""
+    if keys:
+        return running_totals(df, keys, "_chunk", sums)
+    totals = df.groupBy("_chunk").agg(*[c.alias(n) for n, c in sums.items()]).withColumn(
+        "_block", F.floor(F.col("_chunk") / chunk))
+    blocks = running_totals(totals, [], "_block", {f"_b{n}": F.sum(n) for n in sums})
+    before = (Window.partitionBy("_block").orderBy("_chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    inside = totals.select("_block", "_chunk", *[
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+    return inside.join(blocks, "_block").select("_chunk", *[
+        (F.col(n) + F.col(f"_b{n}")).alias(n) for n in sums])
+
+
 def with_lookback(df: DataFrame, position: str, rows: int, chunk: int = CHUNK) -> DataFrame:
     """Copy the last `rows` rows of every chunk into the next one.
 

@@ -33,7 +33,7 @@ def forecast_report(signals: DataFrame, panel: DataFrame,
     saved = checkpointed(regress.in_sample_contributions(frame, forecast.BLOCK))
     return {
         "clark_west": forecast.clark_west(ahead),
-        "concentration": forecast.concentration(ahead, "gain", ["date", "ticker"]),
+        "concentration": forecast.concentration(ahead, "gain", forecast.ROW),
         "without_best": forecast.retest_without_best(ahead),
         "in_sample_concentration": forecast.concentration(saved, "gain", ["position"]),
         "in_sample_without_best": regress.as_rows(
