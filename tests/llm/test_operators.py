@@ -250,3 +250,28 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert toxicity.report(nothing, labels).collect() == []
     odd = spark.createDataFrame([(None, None), (1, ""), (1, None)], "doc_id long, text string")
     assert len(toxicity.report(odd, labels.limit(0)).collect()) == 3
+
+
+def test_secrets_of_rare_kinds(spark):
+    """A few keys of each encoding and length: nearly all are found, ordinary runs are not."""
+    rng = random.Random(8)
+    rows = [f"key {''.join(rng.choice(alphabet) for _ in range(size))} here"
+            for _, _, alphabet in secrets.ENCODINGS for size in (20, 29, 47, 70, 150) for _ in range(3)]
+    plain = ["state-of-the-art-tools-of-the-trade", "usr/local/share/doc/python/readme", "-" * 40, "0" * 30,
+             "getUserNameFromIdentifier", "internationalizationsettings", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    docs = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(docs).collect()}
+    assert sum(spans[i] != "" for i in range(len(rows))) >= 0.97 * len(rows)
+    assert not [x for i, x in enumerate(plain) if spans[len(rows) + i]]
+
+
+def test_secrets_thresholds():
+    """Chance raises no threshold over keys alone; a pile of ordinary text does."""
+    rng = random.Random(9)
+    for keys, plain in ((1, 0), (3, 0), (300, 0), (5000, 0), (0, 500), (1, 500), (40, 500), (3000, 3000)):
+        counts = [0] * secrets.BINS
+        for p in [rng.random() for _ in range(keys)] + [10 ** rng.uniform(-9, -2.1) for _ in range(plain)]:
+            counts[max(n for n, edge in enumerate(secrets.EDGES) if edge <= p)] += 1
+        lowest = secrets.lowest_bin(counts)
+        assert secrets.EDGES[lowest] <= 0.02
+        assert sum(counts[lowest:]) - keys <= 3 + 0.06 * keys if plain else lowest == 0

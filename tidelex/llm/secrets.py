@@ -1,17 +1,21 @@
 """Secret scans in DataFrame functions only.
 
 Base rules find assignments, access keys and long hexadecimal runs. Beside them, every run of 20 or
-more key characters that mixes letters and digits is a candidate: its encoding is inferred from its
-characters, and three tests ask whether it could be uniform random text of that encoding: the
-chi-squared test of symbol counts, the runs test above and below the middle of the alphabet, and
-the lag-1 serial correlation. The smallest of the three p-values, corrected for taking the smallest,
-is the candidate's p. Random keys have uniform p; ordinary text has p near 0.
+more key characters is a candidate: its encoding is inferred from its characters, and tests ask
+whether it could be uniform random text of that encoding: the chi-squared test of symbol counts, the
+runs test above and below the middle of the alphabet, the lag-1 serial correlation, in alphabets
+with all letters the share of letters that are common in prose, and in runs of letters alone the
+change of vowels and consonants. The smallest of the p-values, corrected for taking the smallest, is
+the candidate's p. Random keys have uniform p; ordinary text has p near 0.
 
 False discoveries are controlled by length: candidates are grouped by encoding and length class, and
 in each group the keys are counted from the upper half of the p-values, where ordinary text does not
-reach. The lowest threshold at which the estimated share of ordinary text among the accepted is at
-most `rate` is that group's. Only histograms of the groups (encodings x lengths x 100 bins) are
-gathered.
+reach. A group's threshold is the lowest at which the estimated share of ordinary text among the
+accepted is at most `rate`, or at which no pile of low p-values stands out from uniform ones (so
+chance alone never raises it). A group of fewer than `THIN` candidates is judged with its
+neighbouring lengths, and its threshold never exceeds the fixed one of its length (`fixed_bin`); that
+one holds if the encoding has too few candidates altogether. No group is left out. Only histograms
+of the groups (encodings x lengths x bins) are gathered.
 
 Per row, only candidates and spans leave the scan; texts are never shuffled.
 
@@ -21,6 +25,10 @@ rows each count. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import row_key, text_or_empty
@@ -31,24 +39,36 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
-#: A run of key characters with a letter and a digit; 20 or more characters are a candidate.
-CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])"
-             r"[A-Za-z0-9+/_-]{20,}+={0,2}")
+#: A run of 20 or more key characters is a candidate.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from narrow to wide: (name, pattern, alphabet).
 ENCODINGS = (
+    ("digits", r"^[0-9]+$", DIGITS),
     ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef"),
     ("HEX", r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("UPPER", r"^[A-Z]+$", LOWER.upper()),
     ("base32", r"^[A-Z2-7]+$", LOWER.upper() + "234567"),
     ("base36", r"^[0-9a-z]+$", DIGITS + LOWER),
     ("BASE36", r"^[0-9A-Z]+$", DIGITS + LOWER.upper()),
+    ("letters", r"^[A-Za-z]+$", LOWER.upper() + LOWER),
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + LOWER.upper() + LOWER),
     ("base64", r"^[0-9A-Za-z+/]+$", LOWER.upper() + LOWER + DIGITS + "+/"),
     ("base64url", r"^[0-9A-Za-z_-]+$", LOWER.upper() + LOWER + DIGITS + "-_"),
     ("mixed", r"", LOWER.upper() + LOWER + DIGITS + "+/-_"),
 )
-BINS = 100
+#: Letters by how common they are in European prose, with the logarithm of how much more than evenly.
+PROSE = (("eainsrt", 0.79), ("olud", 0.26), ("cmphg", -0.36), ("bfvkwzqyjx", -1.56))
+VOWELS = "aeiouy"
+#: Lower ends of the bins of p: fine near 0, then hundredths.
+EDGES = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, *[n / 100 for n in range(1, 100)])
+BINS = len(EDGES)
 RATE = 0.05
+#: A pile of low p-values that uniform ones make with less than this probability is ordinary text.
+CHANCE = 1e-3
+#: A group of fewer candidates is judged with its neighbours.
+THIN = 200
 
 
 def _placed(text: Column, pattern: str) -> Column:
@@ -74,14 +94,20 @@ def _spans(placed: Column, kind: int) -> Column:
         (x["start"] + F.length(x["match"])).alias("stop")))
 
 
+def _once(value: Column, of) -> Column:
+    """`of(value)`, with `value` computed once: inside lambdas Spark repeats what is repeated."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal distribution, to about 1e-7 (a rational fit of the tail)."""
-    x = F.abs(z)
-    t = F.lit(1.0) / (F.lit(1.0) + x * 0.2316419)
-    poly = t * (F.lit(0.319381530) + t * (F.lit(-0.356563782) + t * (
-        F.lit(1.781477937) + t * (F.lit(-1.821255978) + t * 1.330274429))))
-    tail = F.exp(-x * x / 2.0) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+    def tail(x: Column) -> Column:
+        return _once(F.lit(1.0) / (F.lit(1.0) + x * 0.2316419), lambda t: (
+            t * (F.lit(0.319381530) + t * (F.lit(-0.356563782) + t * (
+                F.lit(1.781477937) + t * (F.lit(-1.821255978) + t * 1.330274429))))
+            * F.exp(-x * x / 2.0) * 0.3989422804014327))
+
+    return _once(z, lambda v: F.when(v >= 0, tail(v)).otherwise(F.lit(1.0) - tail(-v)))
 
 
 def _randomness(run: Column, alphabet: str) -> Column:
@@ -115,8 +141,33 @@ def _randomness(run: Column, alphabet: str) -> Column:
             (a["last"] - centre) * (x - centre), F.lit(0.0))).alias("sum")))["sum"]
     variance = (k * k - 1) / 12.0
     p_serial = 2.0 * _upper_tail(F.abs(products) / (F.sqrt(n - 1.0) * variance))
-    least = F.greatest(F.least(p_counts, p_runs, p_serial), F.lit(0.0))
-    return F.least(F.lit(1.0), F.lit(1.0) - F.pow(F.lit(1.0) - least, F.lit(3.0)))
+    tests = [p_counts, p_runs, p_serial]
+    plain = F.lower(run)
+    if set(LOWER) <= set(alphabet.lower()):
+        weights = [next((w for of, w in PROSE if c in of), 0.0) for c in alphabet.lower()]
+        even, wide = np.mean(weights), np.std(weights)
+        classes = F.translate(plain, "".join(of for of, _ in PROSE), "".join(
+            "~!#$"[i] * len(of) for i, (of, _) in enumerate(PROSE)))
+        total = sum((n - F.length(F.replace(classes, F.lit(mark), F.lit("")))) * w
+                    for mark, (_, w) in zip("~!#$", PROSE))
+        tests.append(_upper_tail((total - n * float(even)) / (F.sqrt(n) * float(wide))))
+    if alphabet.isalpha():
+        p = len(VOWELS) / len(LOWER)
+        pq = p * (1 - p)
+        sounds = F.translate(plain, LOWER, "".join("1" if c in VOWELS else "0" for c in LOWER))
+        changes = sum((F.length(sounds) - F.length(F.replace(sounds, F.lit(x), F.lit("")))) / 2.0
+                      for x in ("01", "10"))
+        variance = (n - 1.0) * (2 * pq * (1 - 2 * pq)) + (n - 2.0) * (2 * (pq - 4 * pq * pq))
+        tests.append(_upper_tail((changes - (n - 1.0) * (2 * pq)) / F.sqrt(variance)))
+    least = F.greatest(F.least(*tests), F.lit(0.0))
+    return F.least(F.lit(1.0), F.lit(1.0) - F.pow(F.lit(1.0) - least, F.lit(float(len(tests)))))
+
+
+def _bin(p: Column) -> Column:
+    """The number of the bin of `EDGES` that holds p."""
+    low = F.greatest(F.lit(0), (F.floor(F.log10(p)) + 7).cast("int"))
+    return F.when(p >= 0.01, F.least(F.floor(p * 100).cast("int") + 4, F.lit(BINS - 1))).otherwise(
+        F.least(low, F.lit(4)))
 
 
 def _judged(placed: Column) -> Column:
@@ -132,28 +183,59 @@ def _judged(placed: Column) -> Column:
         return F.struct(x["start"].alias("start"),
                         (x["start"] + F.length(x["match"])).alias("stop"),
                         F.concat_ws(":", name, size).alias("stratum"),
-                        F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+                        _once(p, _bin).alias("bin"))
 
     return F.transform(placed, one)
 
 
+def fixed_bin(size: int) -> int:
+    """The threshold of a length class without evidence: p of 0.01 below 32 characters, 0.001 below
+    64, then 0.0001. Ordinary text of that length seldom reaches it; keys below it are lost."""
+    return 5 if size < 10 else 4 if size < 12 else 3
+
+
+def lowest_bin(counts: Sequence[int], rate: float = RATE) -> int:
+    """The lowest acceptable bin of a histogram over `EDGES`."""
+    c, edges = np.asarray(counts, float), np.asarray(EDGES)
+    tails = c[::-1].cumsum()[::-1]
+    # Keys have uniform p: the upper half shows how many there are.
+    keys = 2.0 * tails[edges >= 0.5][0]
+    for b in range(BINS):
+        n = tails[b]
+        if n - keys * (1 - edges[b]) <= rate * n:
+            return b
+        # Chernoff's bound of the chance that as many of n uniform values lie below the next edges.
+        share = (n - tails[b + 1:]) / n
+        even = (edges[b + 1:] - edges[b]) / (1 - edges[b])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            apart = share * np.log(share / even) + np.where(
+                share < 1, (1 - share) * np.log((1 - share) / (1 - even)), 0.0)
+        if not np.any((share > even) & (n * apart > -math.log(CHANCE))):
+            return b
+    return BINS - 1
+
+
 def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """Lowest accepted bin of each stratum, from (stratum, bin) rows; a stratum without an
-    acceptable threshold is absent. One row a stratum comes back."""
-    bins = candidates.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.expr("filter(sequence(0, 99), b -> true)")
-    table = bins.groupBy("stratum").agg(F.map_from_entries(F.collect_list(
-        F.struct("bin", "n"))).alias("counts"))
-    counts = F.transform(ordered, lambda b: F.coalesce(F.col("counts")[b], F.lit(0)))
-    # Keys spread evenly over the bins: the upper half shows how many there are.
-    table = table.select("stratum", counts.alias("c")).withColumn(
-        "keys", F.expr("aggregate(slice(c, 51, 50), 0D, (a, x) -> a + x) / 50"))
-    passes = F.expr(f"""filter(sequence(0, 99), b ->
-        aggregate(slice(c, b + 1, 100 - b), 0D, (a, x) -> a + x) > 0 AND
-        aggregate(slice(c, b + 1, 100 - b), 0D, (a, x) -> a + x) - keys * (100 - b)
-        <= {rate} * aggregate(slice(c, b + 1, 100 - b), 0D, (a, x) -> a + x))""")
-    rows = table.where("keys > 0").select("stratum", F.array_min(passes).alias("bin"))
-    return {r["stratum"]: r["bin"] for r in rows.where("bin is not null").collect()}
+    """Lowest accepted bin of each stratum, from (stratum, bin) rows: every stratum has one."""
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for r in candidates.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        name, size = r["stratum"].split(":")
+        found.setdefault(name, {}).setdefault(int(size), np.zeros(BINS))[r["bin"]] += r["n"]
+    out = {}
+    for name, sizes in found.items():
+        for size, own in sizes.items():
+            pool, reach = own, 0
+            while pool.sum() < THIN and reach < max(sizes) - min(sizes):
+                reach += 1
+                pool = sum(c for at, c in sizes.items() if abs(at - size) <= reach)
+            if own.sum() >= THIN:
+                lowest = lowest_bin(own, rate)
+            elif pool.sum() >= THIN:
+                lowest = min(lowest_bin(pool, rate), fixed_bin(size))
+            else:
+                lowest = fixed_bin(size)
+            out[f"{name}:{size}"] = lowest
+    return out
 
 
 def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
