@@ -275,3 +275,23 @@ def test_secrets_thresholds():
         lowest = secrets.lowest_bin(counts)
         assert secrets.EDGES[lowest] <= 0.02
         assert sum(counts[lowest:]) - keys <= 3 + 0.06 * keys if plain else lowest == 0
+
+
+def test_main_text_inside_marked_wrappers():
+    """Words in styles and classes of a wrapper do not take the article with it; boilerplate goes."""
+    body = "A long enough sentence, with commas, of the article and more text in it. " * 4
+    inner = f"<p>First. {body}</p><p>Second. {body}</p>"
+    junk = f"<div class='site-footer'><p>Junk {body[:90]}</p></div><ul class=menu><li>Junk</li></ul>"
+    for attrs in ('style="overflow:hidden"', 'title="hidden gems"', 'data-x="hidden"', "class=has-sidebar",
+                  'class="with-sidebar wide"', "class=no-nav", 'class="content side"', "class=modal",
+                  "id=main-content class=widget", 'data-class="ad"'):
+        for held in (inner, f"<article>{inner}</article>"):
+            text = html_text.main_text(f"<body><div {attrs}>{held}</div>{junk}</body>")
+            assert "First." in text and "Second." in text and "Junk" not in text, (attrs, text)
+    for attrs in ("hidden", 'style="color:red; display : none"', "class=sidebar", "class=comments", 'hidden=""',
+                  'class="post-comments"', "id=left_nav"):
+        text = html_text.main_text(f"<body><div><p>First. {body}</p></div><div {attrs}><p>Junk {body}</p></div></body>")
+        assert "First." in text and "Junk" not in text, (attrs, text)
+    deep = f"<div class=overlay><div class=sidebar><p>Junk {body[:70]}</p></div><article>{inner}</article></div>"
+    text = html_text.main_text(deep)
+    assert "Second." in text and "Junk" not in text

@@ -3,7 +3,8 @@
 A page becomes a tree of elements (`parse`), each paragraph passes points for its length and its
 commas to the elements above it, an element's points are lowered by the share of its text that is
 in links, and the best container is kept together with those siblings that score like it or are
-plain prose (`main_text`). Work is per row, so pages are spread by the scan alone and no page
+plain prose (`main_text`). An element with a class word of boilerplate goes before that, unless it
+looks like the article's wrapper (`_doubted`): then the word only lowers its score. Work is per row, so pages are spread by the scan alone and no page
 depends on another.
 
 Defined results: null or empty html gives an empty text, as does a page without text outside its
@@ -43,50 +44,91 @@ LEAVES = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption
 REACH = 8
 #: Words in class, id or role that mark what is not the article.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|aside|menu|"
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|aside|menu|"
     r"nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|"
     r"respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
     r"signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|search|"
-    r"complementary|contentinfo|navigation|dialog|hidden)(?:$|[\s_-])", re.I)
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|text|body)"
-                    r"(?:$|[\s_-])", re.I)
+    r"complementary|contentinfo|navigation|dialog|hidden", re.I)
+LIKELY = re.compile(r"article|main|content|post|entry|story|text|body", re.I)
+#: First words of a class that tells of another element: `has-sidebar` is not a sidebar.
+TELLING = re.compile(r"has|have|with|without|no|not|non|is|show|hide", re.I)
+#: Words of readers' replies, which may be longer than the article.
+REPLIES = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+#: What a boilerplate word leaves of the score of a container that is kept in spite of it.
+LOWERED = 0.7
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)"
     r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 LOOSE_ATTRS = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+NOT_SHOWN = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "likely", "points", "chars", "linked",
-                 "kept")
+    __slots__ = ("name", "parent", "children", "dropped", "likely", "doubt", "points", "chars",
+                 "linked", "kept")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool = False,
-                 likely: bool = False):
+                 likely: bool = False, doubt: str = ""):
         self.name, self.parent, self.dropped, self.likely = name, parent, dropped, likely
+        self.doubt = doubt
         self.children: list = []
         self.points, self.chars, self.linked, self.kept = 0.0, 0, 0, False
 
 
-def _marked(name: str, attrs: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag or its class, and whether it looks like text."""
+def _marked(name: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
+    """Whether an element is boilerplate by its tag or not shown, whether it looks like text, and
+    why its class, id or role lets doubt it: "reply", "likely" (but a whole class says it is text),
+    "word" or nothing."""
     if name in DROPPED:
-        return True, False
+        return True, False, ""
     if name == "header":
         inside = parent
         while inside is not None:
             if inside.name in ("article", "main"):
-                return False, False
+                return False, False, ""
             inside = inside.parent
-        return True, False
+        return True, False, ""
     if not attrs or name in ("html", "body", "article", "main"):
-        return False, name in ("article", "main")
-    said = " ".join(x.strip("\"'") for x in MARKS.findall(attrs))
-    likely = bool(said) and bool(LIKELY.search(said))
-    hidden = re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attrs, re.I)
-    return bool(hidden or (said and UNLIKELY.search(said))), likely
+        return False, name in ("article", "main"), ""
+    hidden, classes = False, []
+    for key, value in ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'")
+        hidden |= key == "hidden" or (key == "style" and bool(NOT_SHOWN.search(value)))
+        if key in ("class", "id", "role"):
+            classes += [re.split("[_-]+", x.strip("_-")) for x in value.split()]
+    likely = any(LIKELY.fullmatch(w) for words in classes for w in words)
+    doubted = [w for words in classes if not TELLING.fullmatch(words[0])
+               for w in words if UNLIKELY.fullmatch(w)]
+    doubt = "" if not doubted else "reply" if any(map(REPLIES.fullmatch, doubted)) else "word"
+    if doubt and any(all(map(LIKELY.fullmatch, words)) for words in classes):
+        doubt = "likely"
+    return hidden, likely, doubt
+
+
+def _doubted(root: Node) -> None:
+    """Drops the elements in doubt, but for those with a whole class of text, those that hold every
+    article and main element of the page, and, on pages without, those with most of its prose."""
+    nodes = _elements(root)
+    if not any(x.doubt for x in nodes):
+        return
+    prose, held = {id(x): 0 for x in nodes}, {id(x): 0 for x in nodes}
+    for node in reversed(nodes):  # children come after their parents
+        if node.name == "a":
+            prose[id(node)] = 0
+        else:
+            prose[id(node)] += sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        held[id(node)] += node.name in ("article", "main")
+        if node.parent is not None:
+            prose[id(node.parent)] += prose[id(node)]
+            held[id(node.parent)] += held[id(node)]
+    for node in nodes:
+        if node.doubt in ("word", "reply"):
+            whole = held[id(root)] and held[id(node)] == held[id(root)]
+            most = not held[id(root)] and 2 * prose[id(node)] > prose[id(root)]
+            node.dropped = not (whole or most) or (node.doubt == "reply" and not whole)
 
 
 def parse(page: str) -> Node:
@@ -136,8 +178,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 at = last.parent
-        dropped, likely = _marked(name, found["attrs"], at)
-        child = Node(name, at, dropped, likely)
+        child = Node(name, at, *_marked(name, found["attrs"], at))
         at.children.append(child)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
@@ -192,6 +233,7 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    _doubted(root)
     blocks = _blocks(root)
     if not blocks:
         return ""
@@ -211,7 +253,8 @@ def main_text(page: str) -> str:
             node.parent.linked += node.linked
 
     def score(node: Node) -> float:
-        return (node.points + (25 if node.likely else 0)) * (1 - node.linked / max(node.chars, 1))
+        return (node.points + (25 if node.likely else 0)) * (
+            1 - node.linked / max(node.chars, 1)) * (LOWERED if node.doubt else 1)
 
     best = max((x for x in nodes if x.chars), key=score)
     best.kept = True
