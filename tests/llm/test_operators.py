@@ -295,3 +295,31 @@ def test_main_text_inside_marked_wrappers():
     deep = f"<div class=overlay><div class=sidebar><p>Junk {body[:70]}</p></div><article>{inner}</article></div>"
     text = html_text.main_text(deep)
     assert "Second." in text and "Junk" not in text
+
+
+def test_likenesses_against_the_exact_ones(spark):
+    """near_edited and near_next stay close to the sum of minima over the sum of maxima."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    base, rows = [rng.choice(words) for _ in range(150)], []
+    for n in range(120):
+        base = [rng.choice(words) if rng.random() < n / 200 else w for w in base]
+        rows.append((n, " ".join(base)))
+    rows.append((120, ""))
+
+    def exact(one, other):
+        one, other = ({w: len(w) * t.split().count(w) for w in t.split()} for t in (one, other))
+        both = [(one.get(w, 0), other.get(w, 0)) for w in {*one, *other}]
+        return sum(map(min, both)) / sum(map(max, both)) if both else 1.0
+
+    got = {r["doc_id"]: r for r in weighted_sketch.fingerprints(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = []
+    for n, text in rows:
+        after = rows[(n + 1) % len(rows)][1]
+        edited = text[:len(text) - len(text) // 4] + after[:len(text) // 4]
+        off += [got[n]["near_edited"] - exact(text, edited), got[n]["near_next"] - exact(text, after)]
+    print(f"mean error {sum(off) / len(off):.4f}, root mean square {(sum(x * x for x in off) / len(off)) ** 0.5:.4f}, "
+          f"over 0.1: {sum(abs(x) > 0.1 for x in off)} of {len(off)}")
+    assert max(map(abs, off)) < 0.15 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.04
+    assert sum(abs(x) > 0.1 for x in off) <= 0.01 * len(off)

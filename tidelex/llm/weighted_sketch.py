@@ -6,6 +6,10 @@ t = floor(ln w / r + b), the sample keeps the word that minimises ln c - r (t -
 with t. Two texts agree in a sample with the probability of their generalised Jaccard similarity,
 sum of min(w, w') over sum of max(w, w').
 
+With `SAMPLES` samples a likeness has a standard error of at most 0.5 / sqrt(SAMPLES): 0.031 for 256.
+Samples are taken in rounds of `ROUND`, each a row of its own, so that a row of the aggregate stays
+narrow enough for generated code.
+
 A sample is stored as 16 bits of a hash of (word, t): chance agreement adds 1 / 65536. Two texts of
 one pair are sketched together, so that a word of both draws its random numbers once.
 
@@ -23,7 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .common import checkpointed, text_or_empty
 
-SAMPLES = 32
+SAMPLES = 256
+#: Samples that one row of the aggregate holds.
+ROUND = 8
 #: Stands for a null id inside this module, and sorts first.
 NO_ID = -(1 << 63)
 
@@ -34,10 +40,10 @@ def _bits(value: Column, shift: int, width: int) -> Column:
             * F.lit(2.0 ** -width))
 
 
-def _samples(word: Column, weights: list[Column], j: int) -> list[Column]:
+def _samples(word: Column, weights: list[Column], j: Column) -> list[Column]:
     """For each weight (null: the word is absent): a long whose minimum over the words of a text is
     sample j; the high bits order by the sampled value, the low 16 name (word, t)."""
-    first, second = F.xxhash64(word, F.lit(2 * j)), F.xxhash64(word, F.lit(2 * j + 1))
+    first, second = F.xxhash64(word, j * 2), F.xxhash64(word, j * 2 + 1)
     r = -F.log(_bits(first, 0, 32) * _bits(first, 32, 32))
     log_c = F.log(-F.log(_bits(second, 0, 24) * _bits(second, 24, 20)))
     b = _bits(second, 44, 20)
@@ -77,14 +83,20 @@ def sketch_pairs(pairs: DataFrame, keys: list[str], first: str, second: str,
         F.sum(F.when(F.col("side") == 1, F.col("size")).otherwise(0.0)).alias("w2"))
     # The logarithm of 0 is null: an absent word, and the empty word, take no part.
     weighted = counted.select(*at, "word", F.log("w1").alias("l1"), F.log("w2").alias("l2"))
+    size = min(samples, ROUND)
+    rounds = -(-samples // size)
     least = []
-    for j in range(samples):
-        a, b = _samples(F.col("word"), [F.col("l1"), F.col("l2")], j)
+    for j in range(size):
+        a, b = _samples(F.col("word"), [F.col("l1"), F.col("l2")], F.col("round") * size + j)
         least += [F.min(a).alias(f"a{j}"), F.min(b).alias(f"b{j}")]
     low = lambda side: F.when(F.col(f"{side}0").isNotNull(), F.array(*[
-        F.col(f"{side}{j}").bitwiseAND(F.lit(65535)) for j in range(samples)]))
-    return weighted.groupBy(*at).agg(*least).select(
-        *keys, low("a").alias("sketch_1"), low("b").alias("sketch_2"))
+        F.col(f"{side}{j}").bitwiseAND(F.lit(65535)) for j in range(size)]))
+    parts = weighted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).groupBy(
+        *at, "round").agg(*least).select(*at, "round", low("a").alias("a"), low("b").alias("b"))
+    whole = lambda side: F.slice(F.concat(*[
+        F.max(F.when(F.col("round") == n, F.col(side))) for n in range(rounds)]), 1, samples)
+    return parts.groupBy(*at).agg(whole("a").alias("sketch_1"), whole("b").alias("sketch_2")).select(
+        *keys, "sketch_1", "sketch_2")
 
 
 def as_text(sketch: Column) -> Column:
@@ -95,8 +107,9 @@ def as_text(sketch: Column) -> Column:
 
 def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples of two fingerprints in their text form."""
-    same = sum(F.when(F.substring(one, 1 + 4 * j, 4) == F.substring(other, 1 + 4 * j, 4), 1)
-               .otherwise(0) for j in range(samples)) / F.lit(float(samples))
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(samples - 1)), F.lit(0), lambda total, j: (
+        total + (one.substr(j * 4 + 1, F.lit(4)) == other.substr(j * 4 + 1, F.lit(4))).cast("int"))
+    ) / F.lit(float(samples))
     return (F.when((one == "") & (other == ""), F.lit(1.0))
             .when((one == "") | (other == ""), F.lit(0.0)).otherwise(same))
 
