@@ -1,11 +1,11 @@
-"""Toxicity from a weighted finite-state pattern grammar.
-
-Each word becomes a symbol of one of five transducers: insult (a learned weight), threat, target,
-negation and reported speech. They are composed into one machine that reads a clause from left to
-right; its states remember whether a negation or a report is in force and whether a target or a
-threat has passed, and its arcs add weight when a pattern closes: an insult, an insult beside a
-target, a threat against a target. Negation and reports weaken the arcs they govern. A document's
-features are sums and maxima over its matched clauses, and a logistic curve turns them into a score.
+"""Toxicity from a weighted word list with a few clause rules.
+
+Each word has one of five classes: insult (a learned weight), threat, target, negation and reported
+speech. One loop with fixed factors (`clause_weights`) reads a clause from left to right, in place of
+composed transducers; it remembers whether a negation or a report is in force and whether a target or
+a threat has passed. An insult adds its weight also when it stands alone, more beside a target; a
+threat counts only with a target. Negation and reports weaken what they govern. A document's features
+are sums and maxima over its clauses, and a logistic curve turns them into a score.
 
 Insults are learned as words and as word stems (first 4 to 6 letters) from labelled rows: their
 document counts by label are summed in Spark, and those whose log odds stand out are kept. The model
