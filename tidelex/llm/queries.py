@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
 from . import (byte_passages, decontaminate, html_text, ngram_join, packing, secrets, toxicity,
-               warc, weighted_sketch, word_passages)
+               url_filter, warc, weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -57,7 +57,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_ngram_join, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity,
-    op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing)}
-ORACLES: dict[str, str] = {}
+    op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing,
+    op11_url_filter)}
+ORACLES: dict[str, str] = {"op11_url_filter": url_filter.ORACLE_SQL}
