@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import (byte_passages, decontaminate, html_text, ngram_join, packing, secrets, toxicity,
-               url_filter, warc, weighted_sketch, word_passages)
+from . import (byte_passages, decontaminate, hard_negatives, html_text, ngram_join, packing,
+               secrets, toxicity, url_filter, warc, weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -61,8 +61,13 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(read(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_ngram_join, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity,
     op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing,
-    op11_url_filter)}
-ORACLES: dict[str, str] = {"op11_url_filter": url_filter.ORACLE_SQL}
+    op11_url_filter, op12_hard_negatives)}
+ORACLES: dict[str, str] = {"op11_url_filter": url_filter.ORACLE_SQL,
+                           "op12_hard_negatives": hard_negatives.ORACLE_SQL}
