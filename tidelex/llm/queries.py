@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
-from . import (byte_passages, decontaminate, hard_negatives, html_text, ngram_join, packing,
-               secrets, toxicity, url_filter, warc, weighted_sketch, word_passages)
+from . import (byte_passages, collocations, decontaminate, hard_negatives, html_text,
+               ngram_join, packing, secrets, toxicity, url_filter, warc, weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -65,9 +65,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.report(read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_ngram_join, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity,
     op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing,
-    op11_url_filter, op12_hard_negatives)}
+    op11_url_filter, op12_hard_negatives, op13_collocations)}
 ORACLES: dict[str, str] = {"op11_url_filter": url_filter.ORACLE_SQL,
-                           "op12_hard_negatives": hard_negatives.ORACLE_SQL}
+                           "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+                           "op13_collocations": collocations.ORACLE_SQL}

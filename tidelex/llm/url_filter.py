@@ -89,7 +89,7 @@ def _places(level: int, bits: int, n: int, first: np.ndarray, second: np.ndarray
         return [(at + np.uint64(j) * step) % np.uint64(bits) for j in range(n)]
 
 
-def _passes(level: int, bloom: tuple, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def passes(level: int, bloom: tuple, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     bits, n, words = bloom
     ok = np.ones(len(first), bool)
     for at in _places(level, bits, n, first, second):
@@ -101,7 +101,7 @@ def _unsigned(array) -> np.ndarray:
     return array.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def _filter_of(keys: DataFrame, level: int, bits: int, n: int) -> tuple:
+def filter_of(keys: DataFrame, level: int, bits: int, n: int) -> tuple:
     """The filter of (h1, h2) rows. Bits are joined before the shuffle; bits / 64 words come back."""
     def places(batches):
         for batch in batches:
@@ -125,7 +125,7 @@ def _passing(keys: DataFrame, level: int, bloom: tuple) -> DataFrame:
 
     def tested(batches):
         for batch in batches:
-            ok = _passes(level, held.value, _unsigned(batch.column("h1")),
+            ok = passes(level, held.value, _unsigned(batch.column("h1")),
                          _unsigned(batch.column("h2")))
             yield batch.filter(ok)
 
@@ -149,7 +149,7 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
         return []
     size = _size(n_listed, _first_rate(n_listed, n_universe))
     inside = listed
-    levels = [_filter_of(inside, 0, *size)]
+    levels = [filter_of(inside, 0, *size)]
     # The corpus is read once; no more than the false positives are kept and compared by key.
     false = checkpointed(_passing(universe, 0, levels[0]).dropDuplicates(["key"])
                          .join(inside.select("key"), "key", "left_anti"))
@@ -158,7 +158,7 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
         if level == MAX_LEVELS:
             raise ValueError(f"{n} keys cannot be told apart by their hashes")
         inside, outside = false, inside
-        levels.append(_filter_of(inside, level, *_size(n, 0.5)))
+        levels.append(filter_of(inside, level, *_size(n, 0.5)))
         false = checkpointed(_passing(outside, level, levels[level]))
     return levels
 
@@ -168,7 +168,7 @@ def _listed(levels: list[tuple], first: np.ndarray, second: np.ndarray) -> np.nd
     member = np.full(len(first), len(levels) % 2 == 1)
     open_ = np.arange(len(first))
     for level, bloom in enumerate(levels):
-        ok = _passes(level, bloom, first[open_], second[open_])
+        ok = passes(level, bloom, first[open_], second[open_])
         member[open_[~ok]] = level % 2 == 1
         open_ = open_[ok]
     return member
