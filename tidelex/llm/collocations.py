@@ -32,7 +32,7 @@ INSIDE_PERCENT = 80
 PER_LANG = 2000
 
 #: Bytes of text whose words are held as objects at once.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Bits of the broadcast filter of frequent words and pairs: 16 a piece, at most 16 MB. A fuller one
 #: lets rare grams into the second shuffle, which stays below one row per word.
 MAX_BITS = 1 << 27
@@ -50,25 +50,26 @@ _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t",
 # -- words of a batch
 
 
-def _chunks(texts: pa.Array) -> Iterator[bytes]:
+def _chunks(texts: pa.Array, order: np.ndarray) -> Iterator[bytes]:
     """Folded texts with `_END` between pieces, joined up to about CHUNK bytes; longer texts are cut
-    between pieces."""
+    between pieces. Few texts at once leave the Arrow batch."""
     held: list[bytes] = []
     size = 0
-    for text in texts.cast(pa.large_binary()).to_pylist():
-        text = text.translate(_TABLE)
-        start = 0
-        while len(text) - start > CHUNK:
-            cut = text.find(_END, start + CHUNK)
-            if cut < 0:
-                break
-            yield text[start:cut]
-            start = cut + 1
-        held.append(text[start:] if start else text)
-        size += len(held[-1])
-        if size > CHUNK:
-            yield _END.join(held)
-            held, size = [], 0
+    for at in range(0, len(order), 64):
+        for text in texts.take(pa.array(order[at:at + 64])).cast(pa.large_binary()).to_pylist():
+            text = text.translate(_TABLE)
+            start = 0
+            while len(text) - start > CHUNK:
+                cut = text.find(_END, start + CHUNK)
+                if cut < 0:
+                    break
+                yield text[start:cut]
+                start = cut + 1
+            held.append(text[start:] if start else text)
+            size += len(held[-1])
+            if size > CHUNK:
+                yield _END.join(held)
+                held, size = [], 0
     if held:
         yield _END.join(held)
 
@@ -108,7 +109,7 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarra
         langs = batch.column("lang").dictionary_encode()
         for at, lang in enumerate(langs.dictionary.to_pylist()):
             chosen = np.flatnonzero(langs.indices.to_numpy() == at)
-            for chunk in _chunks(batch.column("text").take(pa.array(chosen))):
+            for chunk in _chunks(batch.column("text"), chosen):
                 ids, words = _words(chunk)
                 if len(words):
                     yield lang, ids, words
