@@ -465,3 +465,62 @@ def test_printed_reports_are_whole(spark, capsys):
 
     print_all(spark.range(1500).toDF("n"))
     assert capsys.readouterr().out.split() == ["n", *map(str, range(1500))]
+
+
+def test_plain_answers_read_the_same_in_the_jvm(spark, monkeypatch):
+    """Every tier, with values at the edge of each rule: the two ways agree, and the first is used."""
+    side = {"polarity": -.125, "conviction": .285, "strongest_point": "p" * 400, "concession": ""}
+    one = {**ANALYST, "log_amplitude": .1}
+    verdict = {"direction": "adverse", "log_amplitude": 0.3, "position": -1, "rationale": "r" * 700}
+    changes = [
+        {}, {"relevance": 1}, {"relevance": 0}, {"polarity": -0.001}, {"polarity": -0.0},
+        {"polarity": -1}, {"ambiguity": 0.005}, {"ambiguity": 0.015}, {"intensity": 0.994999999},
+        {"intensity": 1e-9}, {"relevance": 1.0000001}, {"relevance": "0.5"}, {"relevance": True},
+        {"relevance": None}, {"relevance": float("nan")}, {"is_new_information": "yes"},
+        {"is_new_information": False}, {"shock_kind": "NONE"}, {"evidence": None},
+        {"evidence": "\x1c N/A\t"}, {"evidence": "é 😀" * 100}, {"evidence": "a\"b\\\n{x}"},
+        {"evidence": 5}, {"extra": {"relevance": 2}}, {"extra": [1]}, {"odd, evidence: STRING": 1},
+        {"conviction": .125}, {"concession": "none"}, {"strongest_point": "-0 "}, {"lower": .9},
+        {"log_amplitude": -0.375}, {"upper": 3}, {"position": 1}, {"position": 1.0},
+        {"position": 2}, {"driver": None}, {"evidence": "\ud83d"}]
+    rows = []
+    for tier, seat, base in (("analyst", "a", ANALYST), ("debate", "adverse", side),
+                             ("debate", "supportive", {**side, "concession": "c"}),
+                             ("forecast", "forecaster", VIEW), ("panel", "extreme", VIEW),
+                             ("single", "s", one), ("verdict", "v", verdict)):
+        for change in changes:
+            text = json.dumps({**base, **change})
+            rows += [(tier, seat, text), (tier, seat, f"```json\n{text}\n```"),
+                     (tier, seat, f"so: {text}.")]
+        rows += [(tier, seat, json.dumps(base, ensure_ascii=False)), (tier, seat, "[" + text + "]"),
+                 (tier, seat, ""), (tier, seat, text[:-1]), (tier, seat, text + "x"),
+                 (tier, seat, text[:-1] + ', "relevance": 0.1, "relevance": 0.2}'),
+                 (tier, seat, '{"answer": ' + text + "}"), (tier, seat, "null")]
+    table = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)],
+                                  "n int, tier string, seat string, body string")
+    columns = F.col("body"), F.col("tier"), F.col("seat")
+    got = {r.n: r.reading for r in replies.with_readings(table, *columns).collect()}
+    want = {r.n: r.reading for r in table.select(
+        "n", replies.parsed(*columns).alias("reading")).collect()}
+    for n, row in enumerate(rows):
+        assert repr(got[n]) == repr(want[n]), row
+    assert sum(r.parse_ok for r in got.values()) > 300
+    # Without the Python side, plain answers still have their readings and no others have one.
+    monkeypatch.setattr(replies, "parsed", lambda *_: F.lit(None).cast(
+        f"struct<{replies.READING_TYPE.replace(' ', ':').replace(',:', ',')}>"))
+    alone = {r.n: r.reading for r in replies.with_readings(table, *columns).collect()}
+    for n, (tier, seat, text) in enumerate(rows):
+        assert alone[n] is None or repr(alone[n]) == repr(want[n])
+        if text in [json.dumps(r) for r in (ANALYST, VIEW, one, verdict)]:
+            assert alone[n] is not None
+    assert sum(r is not None for r in alone.values()) > 150
+
+
+def test_the_search_for_an_object_stays_linear():
+    nested = '{"a":' * 50_000 + "}"
+    started = dt.datetime.now()
+    assert replies.find_object(nested) is None
+    assert replies.find_object("{" * 200_000) is None
+    assert replies.find_object('{"a": "' + "{" * 100_000) is None
+    assert replies.find_object("x" + '{"a": {"b": 1}} {"c": "}{"} {') == {"c": "}{"}
+    assert (dt.datetime.now() - started).total_seconds() < 5
