@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,9 +13,9 @@ from tidelex.config import Config
 from tidelex.errors import BudgetExceeded, EndpointRefused
 from tidelex.functions import clock, fingerprint
 from tidelex.operators import align, digest, neardup, quota
-from tidelex.plans import committee
+from tidelex.plans import calls, committee
 from tidelex.plans.committee import KEY, Arm
-from tidelex.plans.readers import ATTEMPT_SCHEMA, Endpoint
+from tidelex.plans.readers import Endpoint
 from tidelex.session import checkpointed
 from tidelex.sources import answers as store, ledger as ledgers
 
@@ -44,9 +46,11 @@ def price(units: DataFrame, arm: Arm, answers: DataFrame, tier: str = "analyst",
           seat: str = "analyst_fundamentals") -> DataFrame:
     """One row before anything is sent: units, units with a document, units whose first call is
     not stored, calls to pay, and the upper median and maximum of the digest length."""
-    calls = committee.calls_per_unit(arm.debate_rounds, arm.panel_rounds) if tier == "analyst" else 1
+    per_unit = committee.calls_per_unit(arm.debate_rounds, arm.panel_rounds) if tier == "analyst" else 1
     filled = F.col("n_documents") > 0
-    stored = answers.select("cache_key", F.lit(True).alias("stored"))
+    asked = units.where(filled).withColumn("context_sha", F.col("digest_sha256")).select(
+        arm.key(tier, seat).alias("cache_key"))
+    stored = store.matching(answers, asked).select("cache_key", F.lit(True).alias("stored"))
     # Units are counted per digest length first. No digest is longer than its budget, so the table
     # of lengths has a fixed size.
     lengths = (
@@ -68,27 +72,29 @@ def price(units: DataFrame, arm: Arm, answers: DataFrame, tier: str = "analyst",
     return total.select(
         "units", "with_document", "units_to_pay",
         F.try_element_at("steps", F.lit(-1))["chars"].alias("digest_max"),
-        median.alias("digest_median"), (F.col("units_to_pay") * calls).alias("calls_to_pay"))
+        median.alias("digest_median"), (F.col("units_to_pay") * per_unit).alias("calls_to_pay"))
 
 
-@dataclass
 class Asking:
     """Sends a stage's missing requests and stores what comes back.
 
     The stage is priced first: requests are admitted in a fixed order while total spend stays
-    within the cap, and the run stops where they no longer fit. What was answered is in the store,
-    so a later run starts from there. Rows are written before they are used, so a recomputed plan
-    never sends a call twice.
+    within the cap, and the run stops where they no longer fit. Admitted ones go through
+    `calls.CallStage`, micro-batch by micro-batch, each logged, billed and stored before the next
+    is sent. What broken runs have logged is stored when this is made.
     """
 
-    spark: SparkSession
-    arm: Arm
-    endpoint: Endpoint
-    config: Config
+    def __init__(self, spark: SparkSession, arm: Arm, endpoint: Endpoint, config: Config,
+                 progress: Callable[[str, int, int, dict], None] | None = None):
+        self.spark, self.arm, self.endpoint, self.config = spark, arm, endpoint, config
+        self.progress = progress
+        self.name = f"{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
+        self.stage = 0
+        self.recovered = calls.recover(spark, config.call_log(), self._commit)
 
-    def __call__(self, asked: DataFrame, contexts: DataFrame) -> DataFrame | None:
+    def __call__(self, asked: DataFrame, contexts: DataFrame, known: DataFrame) -> DataFrame | None:
         config, arm = self.config, self.arm
-        missing = store.to_pay(asked, store.load_answers(self.spark, config.answers_path))
+        missing = store.to_pay(asked, known)
         # Equal keys of one stage are one call, paid by the first unit that needs it.
         others = [c for c in missing.columns if c not in (*KEY, "cache_key")]
         first = missing.groupBy("cache_key").agg(
@@ -102,9 +108,14 @@ class Asking:
             ["session", "replicate", "mandate"], F.col("session")))
         if planned.isEmpty():
             return None
-        attempts = self._send(planned.where("admitted"), contexts)
-        self._record(attempts, planned)
-        if not attempts.where("status = 'terminal'").isEmpty():
+        self.stage += 1
+        tier = planned.first()["tier"]
+        told = self.progress and (lambda *seen: self.progress(tier, *seen))
+        sent = calls.CallStage(
+            self.spark, self.endpoint, f"{config.call_log()}/{self.name}/s{self.stage}-{tier}",
+            self._commit, config.calls_per_worker, told)
+        attempts = sent.run(self._requests(planned.where("admitted"), contexts))
+        if sent.stopped:
             raise EndpointRefused("the endpoint refuses durably; stored answers are kept")
         if not planned.where("NOT admitted").isEmpty():
             raise BudgetExceeded(f"{spent:.4f} USD are spent and the remaining calls do not fit "
@@ -113,40 +124,78 @@ class Asking:
         return attempts.where("parse_ok").join(payers, "cache_key").select(
             "cache_key", "raw", "cost_usd", "payer")
 
-    def _send(self, admitted: DataFrame, contexts: DataFrame) -> DataFrame:
-        calls = committee.route(self.arm.debate_rounds, self.arm.panel_rounds, self.arm.analysts)
-        calls = [*dict.fromkeys(calls), ("single", committee.SINGLE_READER)]
-        systems = F.create_map(*[
-            F.lit(part) for tier, seat in calls
-            if committee.mandate_of(tier, seat) in self.arm.mandates
-            for part in (f"{tier}|{seat}", self.arm.system(tier, seat))])
-        ready = (admitted.join(contexts.select(*KEY, "context"), KEY)
-                 .select("cache_key", "tier", "seat",
-                         systems[F.concat_ws("|", "tier", "seat")].alias("system"), "context")
-                 .repartition(self.endpoint.workers, "cache_key"))
-        return checkpointed(ready.mapInPandas(self.endpoint.read, ATTEMPT_SCHEMA))
-
-    def _record(self, attempts: DataFrame, planned: DataFrame) -> None:
+    def _own_log(self) -> DataFrame:
+        found = calls.logged(self.spark, "")
+        for folder in calls.stages(self.spark, self.config.call_log(), self.name):
+            found = found.unionByName(calls.logged(self.spark, folder))
+        return found
+
+    def refused(self) -> DataFrame:
+        """Keys that this run asked for in vain. A call whose attempts ran out is settled, unlike one
+        that was never reached."""
+        return self._own_log().where("event = 'refused'").select("cache_key")
+
+    def own_answers(self) -> DataFrame:
+        return checkpointed(self._own_log().where("parse_ok").select("cache_key", "raw", "cost_usd"))
+
+    def _requests(self, admitted: DataFrame, contexts: DataFrame) -> DataFrame:
+        """What is sent, with what the ledger wants to know of it."""
+        route = committee.route(self.arm.debate_rounds, self.arm.panel_rounds, self.arm.analysts)
+        route = [*dict.fromkeys(route), ("single", committee.SINGLE_READER)]
+        known = [(tier, seat) for tier, seat in route
+                 if committee.mandate_of(tier, seat) in self.arm.mandates]
+        systems = F.create_map(*[F.lit(part) for tier, seat in known
+                                 for part in (f"{tier}|{seat}", self.arm.system(tier, seat))])
         shas = F.create_map(*[F.lit(part) for name, m in self.arm.mandates.items()
                               for part in (name, m.sha)])
-        known = planned.select(
-            *KEY, "mandate", "cache_key", F.lit(self.arm.model).alias("model_requested"),
+        return admitted.join(contexts.select(*KEY, "context"), KEY).select(
+            "cache_key", "tier", "seat",
+            systems[F.concat_ws("|", "tier", "seat")].alias("system"), "context", *KEY, "mandate",
+            F.lit(self.arm.model).alias("model_requested"),
             fingerprint.short(shas[F.col("mandate")]).alias("mandate_sha256"),
             fingerprint.short(F.col("context_sha")).alias("context_sha256"))
+
+    def _commit(self, attempts: DataFrame, requests: DataFrame, name: str) -> None:
+        known = requests.drop("tier", "seat", "system", "context")
         rows = (attempts.join(known, "cache_key")
                 .withColumn("cache_key", fingerprint.short(F.col("cache_key")))
                 .withColumn("parse_ok", F.col("parse_ok").cast("int")))
-        ledgers.append_ledger(rows, self.config.ledger_path)
-        good = attempts.where("parse_ok").select(
-            "cache_key", "raw", "model_returned", "structure_mode", "cost_usd")
-        store.append_answers(good, self.config.answers_path)
+        ledgers.append_ledger(rows, self.config.ledger_path, name)
+        store.append_answers(attempts.where("parse_ok"), self.config.answers_path, name)
 
 
 def run(units: DataFrame, arm: Arm, answers: DataFrame, ask=None,
         single: bool = False) -> DataFrame:
     """Raw rows of a campaign: the nine-call chain, or the one-call control."""
+    return committee.summarise(units, _readings(units, arm, answers, ask, single), single)
+
+
+def finished(units: DataFrame, arm: Arm, asking: Asking, single: bool = False) -> DataFrame:
+    """Raw rows of a stopped run: units whose every call was answered or refused, and silent ones.
+
+    A unit with refused calls has its failures counted, as in a run that was not stopped; a unit
+    with a call that was never reached has no row. What this run has answered counts as billed.
+    """
+    own, refused = asking.own_answers(), asking.refused()
+
+    def stored(asked: DataFrame) -> DataFrame:
+        return store.lookup(asking.spark, asking.config.answers_path, asked).join(
+            own, "cache_key", "left_anti")
+
+    def replay(asked: DataFrame, contexts: DataFrame, known: DataFrame) -> DataFrame:
+        payers = asked.groupBy("cache_key").agg(F.min(F.struct(*KEY)).alias("payer"))
+        return own.join(payers, "cache_key")
+
+    readings = checkpointed(_readings(units, arm, stored, replay, single))
+    unreached = (readings.where("NOT parse_ok AND NOT cache_hit")
+                 .join(refused, "cache_key", "left_anti").select(*KEY).distinct())
+    return committee.summarise(units.join(unreached, KEY, "left_anti"),
+                               readings.join(unreached, KEY, "left_anti"), single)
+
+
+def _readings(units: DataFrame, arm: Arm, answers, ask, single: bool) -> DataFrame:
     read = committee.read_singles if single else committee.read_units
-    return committee.summarise(units, read(units, arm, answers, ask), single)
+    return read(units, arm, answers, ask)
 
 
 def report(raw: DataFrame, signals: DataFrame, dropped: DataFrame) -> DataFrame:

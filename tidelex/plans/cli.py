@@ -81,7 +81,7 @@ def run_arm(spark: SparkSession, args, endpoint: Endpoint | None = None) -> bool
                         config.max_panel_rounds)
     names = [committee.SINGLE_READER] if single else arm.names()
     arm.mandates = prompts.load_mandates(spark, config.mandates_dir, names)
-    answers = store.load_answers(spark, config.answers_path)
+    answers = store.StoredAnswers(spark, config.answers_path)
     units = campaign.build_units(news, chosen_sessions(spark, args, config), config.replicates)
 
     print(config.describe())
@@ -98,25 +98,31 @@ def run_arm(spark: SparkSession, args, endpoint: Endpoint | None = None) -> bool
         limits=Limits(config.tokens_per_minute, config.requests_per_minute),
         workers=config.workers)
     started = time.time()
+    asking = campaign.Asking(spark, arm, endpoint, config, print_progress)
+    if asking.recovered:
+        print(f"{asking.recovered} batches of a broken run are stored now")
     try:
-        rows = campaign.run(units, arm, answers,
-                            campaign.Asking(spark, arm, endpoint, config), single)
+        rows = campaign.run(units, arm, answers, asking, single)
     except (BudgetExceeded, EndpointRefused) as stop:
         print(f"stopped: {stop}")
-        # Units the stop left unfinished have no row; those whose answers are all stored do.
-        rows = campaign.run(units, arm, store.load_answers(spark, config.answers_path),
-                            single=single).where("n_failures = 0")
+        rows = campaign.finished(units, arm, asking, single)
     if not signals.save_results(rows, config.results_dir, args.tag, config.replicates):
         print("no unit produced, nothing is written")
         return False
     raw = spark.read.parquet(f"{config.results_dir}/raw_{args.tag}.parquet")
     campaign.report(raw, rollup.combine_replicates(raw, config.replicates),
                     rollup.dropped_units(raw, config.replicates)).show(truncate=False)
+    store.compact(spark, config.answers_path)
     spent = ledger.total_cost(spark, config.ledger_path, config.prior_ledgers)
     print(f"finished in {(time.time() - started) / 60:.1f} min, project total {spent:.4f} USD")
     return True
 
 
+def print_progress(tier: str, done: int, expected: int, metrics: dict) -> None:
+    print(f"{tier}: {done} of {expected} calls, {metrics.get('answered', 0)} of the last batch "
+          f"answered for {metrics.get('cost_usd') or 0.0:.4f} USD")
+
+
 def print_all(table: DataFrame) -> None:
     """Print every row, as they come to the driver one partition at a time."""
     print("\t".join(table.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelex.functions import contracts, fingerprint, replies
 from tidelex.operators import rollup
 from tidelex.session import checkpointed
-from tidelex.sources.answers import ANSWER_SCHEMA
+from tidelex.sources.answers import ANSWER_SCHEMA, matching
 from tidelex.sources.prompts import Mandate
 
 KEY = rollup.KEY
@@ -110,8 +110,8 @@ def answered(asked: DataFrame, answers: DataFrame, fresh: DataFrame | None = Non
             "cache_key", "raw", F.lit(False).alias("stored"), "cost_usd", "payer"))
     found = F.coalesce(F.col("stored") | (F.col("payer") != F.struct(*KEY)), F.lit(False))
     body = replies.strip_reasoning(F.col("raw"))
-    return (asked.join(known, "cache_key", "left").withColumn("cache_hit", found)
-            .withColumn("reading", replies.parsed(body, F.col("tier"), F.col("seat")))
+    found_rows = asked.join(known, "cache_key", "left").withColumn("cache_hit", found)
+    return (replies.with_readings(found_rows, body, F.col("tier"), F.col("seat"))
             .select(*KEY, "tier", "seat", "mandate", "cache_key", "cache_hit",
                     F.when(~F.col("cache_hit"), F.coalesce("cost_usd", F.lit(0.0)))
                     .otherwise(0.0).alias("billed"), "reading.*"))
@@ -137,17 +137,19 @@ def _context(texts: DataFrame, *names: str) -> DataFrame:
 def read_units(units: DataFrame, arm: Arm, answers: DataFrame, ask=None) -> DataFrame:
     """All readings of units that hold a document.
 
-    `units` carries ticker, session, replicate, digest, digest_sha256. `ask(requests, contexts)`
-    returns fresh answers as a materialised table (`plans.campaign` builds it); without it only
-    stored answers are used.
+    `units` carries ticker, session, replicate, digest, digest_sha256. `answers` is
+    a table or a `StoredAnswers`. `ask(requests, contexts, known)` returns fresh answers as a
+    materialised table (`plans.campaign` builds it); without it only stored answers are used.
     """
     filled = units.where(F.col("n_documents") > 0)
 
     def stage(contexts: DataFrame, tier: str, seats: tuple[str, ...]) -> DataFrame:
         asked = requests(contexts.drop("context"), arm, tier, seats)
+        known = matching(answers, asked)  # as the store was before this stage asked
         # A stage is read by every stage below it. Its rows are few and short, so it is cut from
         # the work behind it rather than computed again each time.
-        return checkpointed(answered(asked, answers, ask(asked, contexts) if ask else None))
+        return checkpointed(answered(asked, known,
+                                     ask(asked, contexts, known) if ask else None))
 
     # The digest itself only travels with requests that must be sent; keys need its hash.
     digests = filled.select(*KEY, F.col("digest").alias("context"),
@@ -170,7 +172,8 @@ def read_singles(units: DataFrame, arm: Arm, answers: DataFrame, ask=None) -> Da
         *KEY, F.col("digest").alias("context"), F.col("digest_sha256").alias("context_sha"),
         F.length("digest").alias("context_chars"))
     asked = requests(contexts.drop("context"), arm, "single", (SINGLE_READER,))
-    return answered(asked, answers, ask(asked, contexts) if ask else None)
+    known = matching(answers, asked)
+    return answered(asked, known, ask(asked, contexts, known) if ask else None)
 
 
 def summarise(units: DataFrame, readings: DataFrame, single: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
-"""The ledger of calls: append-only CSV, summed over the current file set and prior ones."""
+"""The ledger of calls: CSV folders that are only added, summed over the current set and prior ones."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelex.sources.tables import exists
@@ -17,18 +19,24 @@ LEGACY_COST_COLUMN = "cout_usd"
 LEDGER_SCHEMA = ", ".join(f"{name} string" for name in LEDGER_COLUMNS)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Add rows under the ledger's columns; absent ones stay empty, cost has eight decimals."""
+def append_ledger(rows: DataFrame, path: str, name: str | None = None) -> None:
+    """Add rows under the ledger's columns; absent ones stay empty, cost has eight decimals.
+
+    Rows go to a folder of their own. The same name written again replaces it, so a commit may be
+    repeated without counting a call twice.
+    """
     cost = F.format_string("%.8f", F.col("cost_usd").cast("double"))
     columns = [
         (cost if name == "cost_usd" else F.col(name).cast("string")).alias(name)
         if name in rows.columns else F.lit("").alias(name) for name in LEDGER_COLUMNS]
-    rows.select(*columns).write.mode("append").csv(path, header=True, escape='"')
+    rows.select(*columns).write.mode("overwrite").csv(
+        f"{path}/{name or uuid.uuid4().hex}", header=True, escape='"')
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, whatever the file's header holds."""
-    return spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return spark.read.csv(path, header=True, escape='"', multiLine=True,
+                          recursiveFileLookup=True)
 
 
 def row_cost(rows: DataFrame) -> Column:

@@ -7,11 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelex.errors import MissingColumn, MissingInput
 
 
+def _located(spark: SparkSession, path: str):
+    """The path and its filesystem, whatever filesystem it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether `path` exists on whatever filesystem it names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, files = _located(spark, path)
+    return files.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder, in order; none if it does not exist."""
+    target, files = _located(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(entry.getPath().getName() for entry in files.listStatus(target))
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file that others look for."""
+    target, files = _located(spark, path)
+    files.create(target, True).close()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    target, files = _located(spark, path)
+    files.delete(target, True)
+
+
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether the job that wrote a folder has committed."""
+    return exists(spark, f"{folder}/_SUCCESS")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tidelex.sources.ledger import LEDGER_SCHEMA, LEGACY_COST_COLUMN, row_cost
 def ledger_stream(spark: SparkSession, folder: str, legacy: bool = False) -> DataFrame:
     schema = LEDGER_SCHEMA.replace("cost_usd", LEGACY_COST_COLUMN) if legacy else LEDGER_SCHEMA
     return (spark.readStream.schema(schema).option("header", True).option("escape", '"')
-            .csv(folder))
+            .option("recursiveFileLookup", True).csv(folder))
 
 
 def running_total(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
