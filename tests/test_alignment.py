@@ -171,6 +171,57 @@ def test_greedy_rule_within_and_across_tasks(spark, seed, cap):
         (u, len(ids)) for u, ids in expected.items()}
 
 
+def test_a_chain_of_near_copies_is_resolved_in_logarithmic_rounds(spark, monkeypatch):
+    """Each text is a copy of its neighbours only: every other one stays."""
+    n, step, width = 400, 3, 26
+    bodies = [" ".join(f"w{w}" for w in range(i * step, i * step + width)) for i in range(n)]
+    docs = spark.createDataFrame(
+        [(f"{i:04d}", "2025-01-15", b, "", "s", "t") for i, b in enumerate(bodies)],
+        "doc_id string, published_utc string, body string, title string, source string, unit string")
+    rounds = []
+    whole = neardup._settle
+    monkeypatch.setattr(neardup, "_settle", lambda *a: rounds.append(1) or whole(*a))
+    kept = neardup.keep_first(docs, unit=["unit"], max_unit_chars=0).collect()
+    assert sorted(r["doc_id"] for r in kept) == [f"{i:04d}" for i in greedy(bodies)]
+    assert len(kept) == n // 2 and len(rounds) <= 6
+
+
+def test_chain_ends(spark):
+    links = [(f"{i:04d}", f"{i - 1:04d}") for i in range(1, 1000)] + [("a", "0007"), ("b", "x")]
+    table = spark.createDataFrame([("u", *r) for r in links], "unit string, spot string, to string")
+    got = {r["spot"]: (r["to"], r["odd"])
+           for r in neardup._chain_ends(table, ["unit"]).collect()}
+    assert got == {**{f"{i:04d}": ("0000", i % 2 == 1) for i in range(1, 1000)},
+                   "a": ("0000", False), "b": ("x", True)}
+
+
+def test_a_shared_phrase_links_in_proportion(spark):
+    """Texts of their own words around one phrase, and the phrase alone once."""
+    def linked(n):
+        phrase = " ".join(f"p{i}" for i in range(12))
+        rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + " " + phrase) for i in range(n)]
+        rows.append((n, phrase))
+        table = spark.createDataFrame(rows, "spot int, body string").select(
+            "spot", F.lit("u").alias("unit"),
+            text.trigrams(text.words(F.col("body"))).alias("grams")).withColumn(
+            "n", F.size("grams")).where("n > 0")
+        links = neardup._links(table, 0.85, ["unit"])
+        alive = links.withColumn("fate", F.lit("open"))
+        similar, beyond = neardup._compare(table, alive, 1_000_000, 0.85, ["unit"])
+        assert beyond.isEmpty()
+        return links.count(), similar.count()
+
+    small, large = linked(100), linked(200)
+    assert small[1] == 100 and large[1] == 200
+    assert large[0] <= 2.1 * small[0]
+    # Without the short text nothing is linked at all.
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + " p q r s t u") for i in range(50)]
+    table = spark.createDataFrame(rows, "spot int, body string").select(
+        "spot", F.lit("u").alias("unit"),
+        text.trigrams(text.words(F.col("body"))).alias("grams")).withColumn("n", F.size("grams"))
+    assert neardup._links(table, 0.85, ["unit"]).count() == 0
+
+
 @pytest.mark.parametrize("cap", [32_000_000, 0])
 def test_identical_rows_and_wordless_texts(spark, cap):
     body = " ".join(f"w{i}" for i in range(200))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a table of the shared folder and read it back.
+
+    Loops that join their own result need this rather than a checkpoint: a checkpoint keeps the size
+    that was estimated for its plan, and estimates of joins multiply, so that their digits double with
+    every round. A table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
