@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidelex.session import stored
+
 from .common import checkpointed, mixed, row_key, text_or_empty
 from .url_filter import LOWER, UPPER, filter_of, passes
 
@@ -32,7 +34,7 @@ INSIDE_PERCENT = 80
 PER_LANG = 2000
 
 #: Bytes of text whose words are held as objects at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Bits of the broadcast filter of frequent words and pairs: 16 a piece, at most 16 MB. A fuller one
 #: lets rare grams into the second shuffle, which stays below one row per word.
 MAX_BITS = 1 << 27
@@ -226,7 +228,7 @@ def _heads(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_in"), F.min("id").alias("before"))
     out = edges.groupBy("lang", F.col("from").alias("node")).agg(
         F.count(F.lit(1)).alias("n_out"), F.min("id").alias("id"))
-    links = checkpointed(into.where("n_in = 1").join(out.where("n_out = 1"), ["lang", "node"])
+    links = stored(into.where("n_in = 1").join(out.where("n_out = 1"), ["lang", "node"])
                          .where("before <> id").select("id", "before"))
     while True:
         start = edges.select("id").join(links, "id", "left").select(
@@ -234,7 +236,7 @@ def _heads(edges: DataFrame) -> DataFrame:
             F.col("before").isNotNull().cast("long").alias("steps"),
             F.least("id", F.coalesce("before", "id")).alias("low"),
             F.col("before").isNull().alias("done"))
-        hops = checkpointed(start)
+        hops = stored(start)
         open_ = n_links = hops.where("NOT done").count()
         reach = 1
         while open_ and reach <= 2 * n_links:
@@ -245,12 +247,12 @@ def _heads(edges: DataFrame) -> DataFrame:
             further = hops.where("NOT done").join(there, "head").select(
                 "id", F.col("head2").alias("head"), (F.col("steps") + F.col("steps2")).alias("steps"),
                 F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
-            hops = checkpointed(hops.where("done").unionByName(further))
+            hops = stored(hops.where("done").unionByName(further))
             open_, reach = hops.where("NOT done").count(), 2 * reach
         if not open_:
             return hops.select("id", "head", "steps")
         cut = hops.where("NOT done AND low = id").select("id")
-        links = checkpointed(links.join(cut, "id", "left_anti"))
+        links = stored(links.join(cut, "id", "left_anti"))
 
 
 def paths(known: DataFrame, longest: int = LONGEST) -> DataFrame:
