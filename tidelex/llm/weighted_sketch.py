@@ -11,7 +11,10 @@ Samples are taken in rounds of `ROUND`, each a row of its own, so that a row of
 narrow enough for generated code.
 
 A sample is stored as 16 bits of a hash of (word, t): chance agreement adds 1 / 65536. Two texts of
-one pair are sketched together, so that a word of both draws its random numbers once.
+one pair are sketched together, so that a word of both draws its random numbers once, and where it
+weighs the same in both, or is in one only, its sample too. r and c are quantiles that bits of the
+hash choose from constant tables, in 4,096 steps and for c in as many again below the lowest, which
+is where the minimum over many words comes from.
 
 Everything after the co-location of a text with its edit runs in one stage: words are counted and
 samples are taken on the partitioning by document, without a further shuffle, and no group is ever
@@ -23,6 +26,9 @@ them and a text with words are not (0).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .common import checkpointed, text_or_empty
@@ -34,27 +40,57 @@ ROUND = 8
 NO_ID = -(1 << 63)
 
 
-def _bits(value: Column, shift: int, width: int) -> Column:
-    """`width` bits of a long as a uniform number in (0, 1)."""
-    return ((F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5))
-            * F.lit(2.0 ** -width))
+#: Entries of a quantile table, and the bits of a hash that choose one.
+STEP_BITS = 12
+
+
+@lru_cache
+def _quantiles(tail: int) -> tuple[float, ...]:
+    """Quantiles of Gamma(2, 1) at the middles of 2^STEP_BITS equal steps of the lowest
+    2^-(tail * STEP_BITS) of its mass: 1 - exp(-x) (1 + x) inverted by bisection."""
+    steps = 1 << STEP_BITS
+    p = (np.arange(steps) + 0.5) / steps / 2.0 ** (tail * STEP_BITS)
+    low, high = np.zeros(steps), np.full(steps, 64.0)
+    for _ in range(200):
+        x = (low + high) / 2
+        # For small x the terms cancel; the series of the same function does not.
+        mass = np.where(x < 1e-2, x * x / 2 - x ** 3 / 3 + x ** 4 / 8 - x ** 5 / 30,
+                        -np.expm1(-x) - x * np.exp(-x))
+        low, high = np.where(mass < p, x, low), np.where(mass < p, high, x)
+    return tuple((low + high) / 2)
+
+
+def _table(values) -> Column:
+    """A constant array, folded once when the plan is optimised."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _field(value: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+
+def _draws(word: Column, j: Column) -> tuple[Column, Column, Column, Column]:
+    """(hash, r, ln c, b) of a word in sample j, from one hash: 12 bits choose r, 24 bits c (the
+    upper 12, or where they are 0 the lower 12 in the tail below), 24 bits are b."""
+    h = F.xxhash64(word, j)
+    r = F.get(_table(_quantiles(0)), _field(h, 0, 12))
+    upper = _field(h, 24, 12)
+    log_c = F.when(upper > 0, F.get(_table(np.log(_quantiles(0))), upper)).otherwise(
+        F.get(_table(np.log(_quantiles(1))), _field(h, 12, 12)))
+    b = (F.shiftrightunsigned(h, 36).bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(0.5)) * F.lit(2.0 ** -24)
+    return h, r, log_c, b
 
 
-def _samples(word: Column, weights: list[Column], j: Column) -> list[Column]:
-    """For each weight (null: the word is absent): a long whose minimum over the words of a text is
-    sample j; the high bits order by the sampled value, the low 16 name (word, t)."""
-    first, second = F.xxhash64(word, j * 2), F.xxhash64(word, j * 2 + 1)
-    r = -F.log(_bits(first, 0, 32) * _bits(first, 32, 32))
-    log_c = F.log(-F.log(_bits(second, 0, 24) * _bits(second, 24, 20)))
-    b = _bits(second, 44, 20)
-    out = []
-    for log_weight in weights:
-        t = F.floor(log_weight / r + b)
-        value = log_c - r * (t - b + F.lit(1.0))
-        # The value lies within +-2^15 for any weight below e^1000: 47 bits hold it.
-        ordered = F.shiftleft(((value + F.lit(32768.0)) * F.lit(2.0 ** 30)).cast("long"), 16)
-        out.append(ordered.bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(65535))))
-    return out
+def _sample(draws: tuple[Column, Column, Column, Column], log_weight: Column) -> Column:
+    """A long whose minimum over the words of a text is the sample; the high bits order by the
+    sampled value, the low 16 name (word, t). Null where the weight is."""
+    h, r, log_c, b = draws
+    t = F.floor(log_weight / r + b)
+    value = log_c - r * (t - b + F.lit(1.0))
+    # The value lies within +-2^15 for any weight below e^1000: 47 bits hold it.
+    ordered = F.shiftleft(((value + F.lit(32768.0)) * F.lit(2.0 ** 30)).cast("long"), 16)
+    name = h.bitwiseXOR(F.shiftrightunsigned(h, 23)).bitwiseXOR(t * F.lit(40503))
+    return ordered.bitwiseOR(name.bitwiseAND(F.lit(65535)))
 
 
 def _words(text: Column) -> Column:
@@ -85,14 +121,20 @@ def sketch_pairs(pairs: DataFrame, keys: list[str], first: str, second: str,
     weighted = counted.select(*at, "word", F.log("w1").alias("l1"), F.log("w2").alias("l2"))
     size = min(samples, ROUND)
     rounds = -(-samples // size)
+    l1, l2 = F.col("l1"), F.col("l2")
+    draws = [_draws(F.col("word"), F.col("round") * size + j) for j in range(size)]
+    # Most words weigh the same in both texts, or are in one of them: they are sampled once.
+    one = F.coalesce(l1, l2)
     least = []
     for j in range(size):
-        a, b = _samples(F.col("word"), [F.col("l1"), F.col("l2")], F.col("round") * size + j)
-        least += [F.min(a).alias(f"a{j}"), F.min(b).alias(f"b{j}")]
+        least += [F.min(F.when(l1.isNotNull(), F.col(f"s{j}"))).alias(f"a{j}"),
+                  F.min(F.when(l2.isNull(), F.lit(None)).when(l1.isNull() | (l1 == l2), F.col(f"s{j}"))
+                        .otherwise(_sample(draws[j], l2))).alias(f"b{j}")]
     low = lambda side: F.when(F.col(f"{side}0").isNotNull(), F.array(*[
         F.col(f"{side}{j}").bitwiseAND(F.lit(65535)) for j in range(size)]))
-    parts = weighted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).groupBy(
-        *at, "round").agg(*least).select(*at, "round", low("a").alias("a"), low("b").alias("b"))
+    rows = weighted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    sampled = rows.select("*", *[_sample(draws[j], one).alias(f"s{j}") for j in range(size)])
+    parts = sampled.groupBy(*at, "round").agg(*least).select(*at, "round", low("a").alias("a"), low("b").alias("b"))
     whole = lambda side: F.slice(F.concat(*[
         F.max(F.when(F.col("round") == n, F.col(side))) for n in range(rounds)]), 1, samples)
     return parts.groupBy(*at).agg(whole("a").alias("sketch_1"), whole("b").alias("sketch_2")).select(
