@@ -274,6 +274,29 @@ def frame_fingerprint(spark, sf):
     return sampling.fingerprint(_sample(spark, sf))
 
 
+def _tree(levels: int) -> str:
+    steps, last = [], "nodes"
+    for n in range(levels, 0, -1):
+        steps.append(f"level{n} AS (SELECT substr(own, 1, {n}) AS own, sha256(string_agg(h, chr(10) "
+                     f"ORDER BY own, h)) AS h, sum(n) AS n FROM {last} GROUP BY substr(own, 1, {n}))")
+        last = f"level{n}"
+    return ", ".join(steps) + (f" SELECT sha256(string_agg(h, chr(10) ORDER BY own, h)) AS sha256, "
+                               f"CAST(sum(n) AS BIGINT) AS n FROM {last}")
+
+
+@query("frame_tree_fingerprint", """WITH days AS (
+  SELECT 'u' || user_id AS ticker, ts::DATE AS d, count(*) AS n FROM events GROUP BY ALL),
+years AS (SELECT ticker, year(d) AS y, sum(n) AS n, sha256(string_agg(
+  strftime(d, '%Y-%m-%d') || '|' || n, chr(10) ORDER BY d)) AS h FROM days GROUP BY ALL),
+nodes AS (SELECT sha256(ticker) AS own, sha256(sha256(ticker) || '|' || sha256(string_agg(
+  h, chr(10) ORDER BY y))) AS h, sum(n) AS n FROM years GROUP BY ticker), """ + _tree(4))
+def frame_tree_fingerprint(spark, sf):
+    """The name of a frame of any size: every user's event days, in a tree of bounded nodes."""
+    frame = tb.table(spark, sf, "events").select(
+        F.concat(F.lit("u"), "user_id").alias("ticker"), F.to_date("ts").alias("session_date"))
+    return sampling.tree_fingerprint(frame)
+
+
 # -- readings to signals
 
 

@@ -125,6 +125,23 @@ def test_draw_covers_regimes_and_years_and_repeats(spark):
     import hashlib
     lines = sorted(f"{t}|{d}" for t, d in zip(first.ticker, first.session_date))
     assert row["sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    large = sampling.fingerprint(sampling.draw(prices, 105), max_lines=10).first()
+    assert large["sha256"] is None and large["n"] == len(lines)
+
+
+def test_tree_fingerprint_depends_on_the_rows_alone(spark):
+    rows = [(f"T{i % 37}", f"20{10 + i % 9}-0{1 + i % 9}-1{i % 10}") for i in range(600)]
+
+    def root(of, parts=2):
+        frame = spark.createDataFrame(of, "ticker string, d string").repartition(parts).select(
+            "ticker", F.to_date("d").alias("session_date"))
+        return tuple(sampling.tree_fingerprint(frame).first())
+
+    whole = root(rows)
+    assert whole[1] == 600 and root(rows[::-1], 5) == whole
+    assert len({whole, root(rows[1:]), root(rows + rows[:1]), root(rows + [("T1", None)]),
+                root([("T0", "2010-01-11")] + rows[1:]), root(rows + [(None, "2010-01-10")])}) == 6
+    assert root([], 1)[1] == 0
 
 
 # -- regressions

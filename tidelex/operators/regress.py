@@ -115,45 +115,68 @@ def fit(frame: DataFrame | Moments, columns: list[str]) -> Fit:
 
 
 def newey_west(model: Fit, lags: int = LAGS) -> np.ndarray:
-    """Covariance of the slopes with Bartlett weights over `lags` rows in frame order.
+    """Covariance of the slopes with Bartlett weights over `lags` rows in frame order."""
+    return newey_west_together([model], lags)[0]
+
+
+def newey_west_together(models: list[Fit], lags: int = LAGS) -> list[np.ndarray]:
+    """The covariances of models that were fitted from the same moments, in one pass.
 
     With g the score rows and w the weights, S = G0 + sum w_l (G_l + G_l'), so S = M + M' where M
-    pairs each row with g_t / 2 + sum w_l g_(t-l): one pass of k x k sums instead of one per lag.
+    pairs each row with g_t / 2 + sum w_l g_(t-l). The residuals of all models stand side by side;
+    the rows a lookback needs are copied once, and the k x k sums of all models are one aggregate.
     """
-    k = len(model.columns)
-    scored = with_lookback(
-        model.centred.select("position", *[
-            (F.col(f"c_{c}") * model.residual()).alias(f"g{i}")
-            for i, c in enumerate(model.columns)]),
-        "position", lags)
+    used = sorted({c for model in models for c in model.columns})
+    # Only columns and residuals are copied; scores are their products, made after that.
+    carried = with_lookback(
+        models[0].centred.select("position", *[f"c_{c}" for c in used], *[
+            model.residual().alias(f"e{m}") for m, model in enumerate(models)]), "position", lags)
+    names = [(m, i, c) for m, model in enumerate(models) for i, c in enumerate(model.columns)]
+    scored = carried.select("chunk_id", "position", "is_copy", *[
+        (F.col(f"c_{c}") * F.col(f"e{m}")).alias(f"g{m}_{i}") for m, i, c in names])
     order = Window.partitionBy("chunk_id").orderBy("position")
-    reached = scored.select("is_copy", *[f"g{i}" for i in range(k)], *[
-        reduce(add, [F.col(f"g{i}") / 2, *[
-            F.coalesce(F.lag(f"g{i}", lag).over(order), F.lit(0.0)) * (1 - lag / (lags + 1))
-            for lag in range(1, lags + 1)]]).alias(f"h{i}")
-        for i in range(k)]).where(~F.col("is_copy"))
-    sums = reached.agg(*[F.sum(F.col(f"g{i}") * F.col(f"h{j}")).alias(f"m{i}_{j}")
-                         for i in range(k) for j in range(k)]).first()
-    m = np.array([[sums[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    return model.inverse @ (m + m.T) @ model.inverse
+    reached = scored.select("is_copy", *[f"g{m}_{i}" for m, i, _ in names], *[
+        reduce(add, [F.col(f"g{m}_{i}") / 2, *[
+            F.coalesce(F.lag(f"g{m}_{i}", lag).over(order), F.lit(0.0)) * (1 - lag / (lags + 1))
+            for lag in range(1, lags + 1)]]).alias(f"h{m}_{i}")
+        for m, i, _ in names]).where(~F.col("is_copy"))
+    sums = reached.agg(*[
+        F.sum(F.col(f"g{m}_{i}") * F.col(f"h{m}_{j}")).alias(f"m{m}_{i}_{j}")
+        for m, model in enumerate(models) for i in range(len(model.columns))
+        for j in range(len(model.columns))]).first()
+    out = []
+    for m, model in enumerate(models):
+        k = len(model.columns)
+        half = np.array([[sums[f"m{m}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+        out.append(model.inverse @ (half + half.T) @ model.inverse)
+    return out
 
 
 def nested_test(frame: DataFrame | Moments, base: list[str], full: list[str], label: str,
                 lags: int = LAGS) -> dict:
     """Wald chi-square that the columns of `full` absent from `base` are jointly zero."""
-    sums = moments(frame, full)
-    small, big = fit(sums, base), fit(sums, full)
-    covariance = newey_west(big, lags)
-    added = [i for i, c in enumerate(full) if c not in base]
-    block = big.slopes[added]
-    chi2 = float(block @ np.linalg.pinv(covariance[np.ix_(added, added)]) @ block)
-    return {
-        "contrast": label, "columns_added": len(added),
-        "r2_base": round(small.rsquared, 4), "r2_full": round(big.rsquared, 4),
-        "r2_gain": round(big.rsquared - small.rsquared, 4),
-        "wald_chi2": round(chi2, 3), "p_hac": round(tails.chi2_tail(chi2, len(added)), 4),
-        "n": int(big.n),
-    }
+    return nested_tests(frame, [(base, full, label)], lags)[0]
+
+
+def nested_tests(frame: DataFrame | Moments, cases: list[tuple[list[str], list[str], str]],
+                 lags: int = LAGS) -> list[dict]:
+    """Several such tests over the same rows: one pass for the moments, one for all covariances."""
+    sums = moments(frame, list(dict.fromkeys(c for _, full, _ in cases for c in full)))
+    fits = [(fit(sums, base), fit(sums, full)) for base, full, _ in cases]
+    covariances = newey_west_together([big for _, big in fits], lags)
+    rows = []
+    for (base, full, label), (small, big), covariance in zip(cases, fits, covariances):
+        added = [i for i, c in enumerate(full) if c not in base]
+        block = big.slopes[added]
+        chi2 = float(block @ np.linalg.pinv(covariance[np.ix_(added, added)]) @ block)
+        rows.append({
+            "contrast": label, "columns_added": len(added),
+            "r2_base": round(small.rsquared, 4), "r2_full": round(big.rsquared, 4),
+            "r2_gain": round(big.rsquared - small.rsquared, 4),
+            "wald_chi2": round(chi2, 3), "p_hac": round(tails.chi2_tail(chi2, len(added)), 4),
+            "n": int(big.n),
+        })
+    return rows
 
 
 def coefficient_table(frame: DataFrame | Moments, columns: list[str], shown: list[str],
@@ -174,11 +197,9 @@ def contrasts(frame: DataFrame | Moments, lags: int = LAGS) -> list[dict]:
     level, crossed = [*HAR, "stressed"], [f"{c}_x_stressed" for c in TEXT]
     sums = moments(frame if isinstance(frame, Moments) else with_interactions(frame),
                    level + TEXT + crossed)
-    return [
-        nested_test(sums, HAR, HAR + TEXT, "N1 - N0", lags),
-        nested_test(sums, level, level + TEXT, "N1 - N0 given regime", lags),
-        nested_test(sums, level + TEXT, level + TEXT + crossed, "N2 - N1", lags),
-    ]
+    return nested_tests(sums, [
+        (HAR, HAR + TEXT, "N1 - N0"), (level, level + TEXT, "N1 - N0 given regime"),
+        (level + TEXT, level + TEXT + crossed, "N2 - N1")], lags)
 
 
 def within_regimes(frame: DataFrame, lags: int = LAGS) -> list[dict]:

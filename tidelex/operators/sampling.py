@@ -90,12 +90,54 @@ def sample_table(sample: DataFrame) -> DataFrame:
                  F.sum("stressed").cast("long").alias("stressed")))
 
 
-def fingerprint(sample: DataFrame) -> DataFrame:
+#: Lines that one task may hold for the one-text hash: some 30 MB.
+MAX_LINES = 1_000_000
+#: Tickers meet in groups by this many hexadecimal digits of their hash, then 16 groups at a time.
+TREE_DIGITS = 4
+
+
+def fingerprint(sample: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     """SHA-256 over the sorted `ticker|date` lines of a sampling frame, as one row.
 
-    The hash is of one text by definition; the frame it names is a few hundred rows per ticker.
+    The hash is of one text by definition, made in one task: a frame of more lines has a null hash
+    here, and is named by `tree_fingerprint`.
     """
+    n = sample.count()
+    if n > max_lines:
+        return sample.sparkSession.createDataFrame([(None, n)], "sha256 string, n long")
     line = F.concat_ws("|", "ticker", F.date_format("session_date", "yyyy-MM-dd"))
     lines = F.array_sort(F.collect_list(line))
     return sample.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"),
                       F.count(F.lit(1)).alias("n"))
+
+
+def tree_fingerprint(sample: DataFrame) -> DataFrame:
+    """The root of a hash tree over a frame of any size, as one row (sha256, n).
+
+    Leaves are the dates of a ticker's year, each with its number of rows; years hash to a ticker,
+    tickers to groups by the head of their own hash, and 16 groups to one above, up to the root. What
+    meets in a node is bounded by the calendar, by 16, or by the tickers over 16^TREE_DIGITS, and is
+    ordered by what it is, so the root depends on the rows alone.
+    """
+    def joined(name: str, *order: str):
+        return F.sha2(F.concat_ws("\n", F.transform(
+            F.array_sort(F.collect_list(F.struct(*order, name))), lambda x: x[name])), 256)
+
+    name = F.coalesce("ticker", F.lit(""))
+    days = sample.groupBy(name.alias("ticker"), "session_date").agg(F.count(F.lit(1)).alias("rows"))
+    lines = days.select("ticker", "session_date", "rows", F.coalesce(
+        F.year("session_date"), F.lit(0)).alias("year"), F.concat_ws("|", F.coalesce(
+            F.date_format("session_date", "yyyy-MM-dd"), F.lit("")), "rows").alias("line"))
+    years = lines.groupBy("ticker", "year").agg(joined("line", "session_date").alias("hash"),
+                                                F.sum("rows").alias("n"))
+    # `path` is where a node hangs; each level takes one digit off.
+    nodes = years.groupBy("ticker").agg(joined("hash", "year").alias("hash"), F.sum("n").alias("n"))
+    nodes = nodes.select(F.sha2("ticker", 256).alias("own"), F.sha2(F.concat_ws(
+        "|", F.sha2("ticker", 256), "hash"), 256).alias("hash"), "n").withColumn(
+        "path", F.substring("own", 1, TREE_DIGITS))
+    for level in range(TREE_DIGITS, 0, -1):
+        nodes = nodes.groupBy("path").agg(joined("hash", "own").alias("hash"), F.sum("n").alias("n"))
+        nodes = nodes.select(F.col("path").alias("own"), "hash", "n",
+                             F.substring("path", 1, level - 1).alias("path"))
+    return nodes.agg(joined("hash", "own").alias("sha256"),
+                     F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

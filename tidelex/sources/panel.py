@@ -22,11 +22,12 @@ def load_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_perimeter(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The frame and its recomputed fingerprint."""
+    """The frame and its recomputed fingerprint: that of its text, or of its tree beyond MAX_LINES."""
     if not exists(spark, path):
         raise MissingInput(f"no perimeter at {path}")
     frame = spark.read.schema(PERIMETER_SCHEMA).csv(path, header=True)
-    return frame, sampling.fingerprint(frame).first()["sha256"]
+    return frame, (sampling.fingerprint(frame).first()["sha256"]
+                   or sampling.tree_fingerprint(frame).first()["sha256"])
 
 
 def save_perimeter(sample: DataFrame, path: str, per_ticker: int, balance: float,
@@ -37,7 +38,8 @@ def save_perimeter(sample: DataFrame, path: str, per_ticker: int, balance: float
     frame, sha = load_perimeter(spark, path)
     manifest = {"seed": seed, "per_ticker": per_ticker, "balance": balance,
                 "lookback": regime.LOOKBACK, "stress_quantile": regime.STRESS_QUANTILE,
-                "regime_estimator": "garman_klass", "n": frame.count(), "sha256": sha}
+                "regime_estimator": "garman_klass", "n": frame.count(), "sha256": sha,
+                "tree_sha256": sampling.tree_fingerprint(frame).first()["sha256"]}
     (spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1)
      .write.mode("overwrite").text(path.removesuffix(".csv") + ".json"))
     return manifest
