@@ -323,3 +323,16 @@ def test_likenesses_against_the_exact_ones(spark):
           f"over 0.1: {sum(abs(x) > 0.1 for x in off)} of {len(off)}")
     assert max(map(abs, off)) < 0.15 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.04
     assert sum(abs(x) > 0.1 for x in off) <= 0.01 * len(off)
+
+
+def test_contaminated_rows_go_whatever_the_columns_are_called(spark):
+    names = ("hits", "__hits", "__row", "__text", "__whole", "items", "spans", "n_hit", "n_words", "row")
+    item = " ".join(f"b{n}" for n in range(12))
+    docs = spark.createDataFrame([(1, "x " + item), (2, "clean"), (2, "clean"), (3, None), (4, "")],
+                                 "doc_id long, text string").withColumns(
+        {c: F.lit(c) for c in names})
+    benchmark = spark.createDataFrame([(7, item), (8, None)], "item_id long, text string")
+    kept = decontaminate.without_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert listed(kept, *docs.columns) == listed(docs.where("doc_id > 1"), *docs.columns)
+    assert decontaminate.without_contaminated(docs.limit(0), benchmark).collect() == []

@@ -82,7 +82,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
     """`docs` without its text, one row per row: n_words, n_hit, spans (word ranges [start, stop)
-    that are hit), items (sorted ids of the items found). Columns of these names are replaced."""
+    that are hit), items (sorted ids of the items found). Columns of these names are replaced; __text,
+    __hits and __row are reserved."""
     items = checkpointed(_items(benchmark, window, item_col, item_text_col))
     long_filter = bloom.build(items.where("not short"), "fingerprint")
     short_filter = bloom.build(items.where("short"), "fingerprint")
@@ -119,12 +120,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                              for s, n in at])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(counts, pa.int64()),
-                 pa.array(hits, found)], names=[*keep, "n_words", "hits"])
+                 pa.array(hits, found)], names=[*keep, "n_words", "__hits"])
 
     schema = extended(rows.drop("__text"),
-                      "n_words long, hits array<struct<start:int,size:int,window:binary>>")
+                      "n_words long, __hits array<struct<start:int,size:int,window:binary>>")
     marked = row_key(rows.mapInArrow(run, schema), "__row")
-    joined = (marked.select("__row", F.explode("hits").alias("h"))
+    joined = (marked.select("__row", F.explode("__hits").alias("h"))
               .select("__row", "h.start", "h.size", "h.window")
               .join(items.select("window", "item_id").distinct(), "window"))
     per_row = joined.groupBy("__row").agg(
@@ -139,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 'stop', greatest(element_at(done, -1).stop, x.stop)))),
             concat(done, array(x))))""")
     merged = per_row.select("__row", spans.alias("spans"), "items")
-    return (marked.drop("hits").join(merged, "__row", "left").drop("__row")
+    return (marked.drop("__hits").join(merged, "__row", "left").drop("__row")
             .withColumn("spans", F.coalesce("spans", F.expr(
                 "cast(array() as array<struct<start:int,stop:int>>)")))
             .withColumn("items", F.coalesce("items", F.expr("cast(array() as array<bigint>)")))
@@ -157,11 +158,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                          text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a window of an item."""
-    extra = {"n_words", "n_hit", "spans", "items"}.intersection(docs.columns)
-    held = docs.select(*[F.col(c).alias(f"__{c}" if c in extra else c) for c in docs.columns],
-                       F.col(text_col).alias("__whole"))
-    found = contamination(held, benchmark, window, text_col=text_col).where("n_hit = 0")
-    return found.select(*[F.col("__whole").alias(c) if c == text_col else
-                          F.col(f"__{c}").alias(c) if c in extra else F.col(c)
-                          for c in docs.columns])
+    """`docs` without the rows that hold a window of an item. Rows travel whole, as one column, so
+    their columns may have any names."""
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    found = contamination(held, benchmark, window).where("n_hit = 0")
+    return found.select("row.*")
