@@ -524,3 +524,15 @@ def test_the_search_for_an_object_stays_linear():
     assert replies.find_object('{"a": "' + "{" * 100_000) is None
     assert replies.find_object("x" + '{"a": {"b": 1}} {"c": "}{"} {') == {"c": "}{"}
     assert (dt.datetime.now() - started).total_seconds() < 5
+
+
+def test_order_of_stored_files_is_checked(spark, tmp_path):
+    rows = spark.range(500).select(F.format_string("T%02d", F.col("id") % 7).alias("ticker"),
+                                   F.col("id").alias("session"))
+    keys = ["ticker", "session"]
+    rows.orderBy(*keys).write.option("maxRecordsPerFile", 40).parquet(f"{tmp_path}/ordered")
+    rows.repartition(3).write.parquet(f"{tmp_path}/not")
+    good = signals.order_report(spark, f"{tmp_path}/ordered", keys).first()
+    assert good["files"] > 5 and (good["rows"], good["turned"], good["overlapping"]) == (500, 0, 0)
+    bad = signals.order_report(spark, f"{tmp_path}/not", keys).first()
+    assert bad["turned"] > 0 and bad["overlapping"] == 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidelex.operators.rollup import combine_replicates, dropped_units
 from tidelex.sources.tables import union_existing
@@ -30,3 +30,25 @@ def save_results(rows: DataFrame, folder: str, tag: str, k_required: int) -> boo
     if not dropped.isEmpty():
         dropped.write.mode("overwrite").csv(f"{folder}/dropped_{tag}.csv", header=True)
     return True
+
+
+def order_report(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """One row on the order of a stored table: rows, files, rows that come before the one above them in
+    their file, and files whose keys begin before those of the file above end. Without any, reading the
+    files by their first keys gives the whole table in order.
+    """
+    key = F.struct(*keys)
+    placed = spark.read.parquet(path).select(
+        key.alias("key"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.row_index").alias("at"))
+    steps = placed.withColumn("before", F.lag("key").over(
+        Window.partitionBy("file").orderBy("at")))
+    files = steps.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") > F.col("key")).alias("turned"),
+        F.min("key").alias("first"), F.max("key").alias("last"))
+    # One row a file.
+    ranges = files.withColumn("above", F.lag("last").over(Window.orderBy("first", "last")))
+    return ranges.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                      F.count(F.lit(1)).alias("files"),
+                      F.coalesce(F.sum("turned"), F.lit(0)).alias("turned"),
+                      F.count_if(F.col("above") > F.col("first")).alias("overlapping"))
