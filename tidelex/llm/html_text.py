@@ -3,8 +3,9 @@
 A page becomes a tree of elements (`parse`), each paragraph passes points for its length and its
 commas to the elements above it, an element's points are lowered by the share of its text that is
 in links, and the best container is kept together with those siblings that score like it or are
-plain prose (`main_text`). An element with a class word of boilerplate goes before that, unless it
-looks like the article's wrapper (`_doubted`): then the word only lowers its score. Work is per row, so pages are spread by the scan alone and no page
+plain prose or sections with a heading (`main_text`). An element with a class word of boilerplate goes before that, unless it
+looks like the article's wrapper (`_doubted`): then the word only lowers its score. Forms are judged
+likewise, as some pages are one form. Work is per row, so pages are spread by the scan alone and no page
 depends on another.
 
 Defined results: null or empty html gives an empty text, as does a page without text outside its
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +28,9 @@ from .common import extended
 
 # Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math noembed noframes "
-                "object select datalist canvas audio video".split())
-DROPPED = RAW | frozenset("head nav footer aside form button menu dialog fieldset label legend "
+RAW = frozenset("script style textarea title noscript template iframe svg noembed noframes "
+                "object select datalist canvas audio video annotation annotation-xml".split())
+DROPPED = RAW | frozenset("head nav footer aside button menu dialog fieldset label legend "
                           "option optgroup output progress meter map applet".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt "
                    "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
@@ -54,13 +57,17 @@ LIKELY = re.compile(r"article|main|content|post|entry|story|text|body", re.I)
 TELLING = re.compile(r"has|have|with|without|no|not|non|is|show|hide", re.I)
 #: Words of readers' replies, which may be longer than the article.
 REPLIES = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A short paragraph beside the best container is prose if it ends so.
+ENDINGS = frozenset(".!?…。！？:")
 #: What a boilerplate word leaves of the score of a container that is kept in spite of it.
 LOWERED = 0.7
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-LOOSE_ATTRS = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
+    # A quote opens a string right after "=" only.
+    r"(?P<attrs>(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NOT_SHOWN = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
 SPACES = re.compile(r"\s+")
@@ -78,19 +85,16 @@ class Node:
         self.points, self.chars, self.linked, self.kept = 0.0, 0, 0, False
 
 
-def _marked(name: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
+def _marked(name: str, attrs: str, in_article: bool) -> tuple[bool, bool, str]:
     """Whether an element is boilerplate by its tag or not shown, whether it looks like text, and
-    why its class, id or role lets doubt it: "reply", "likely" (but a whole class says it is text),
-    "word" or nothing."""
+    why its class, id or role, or being a form, lets doubt it: "reply", "likely" (but a whole class
+    says it is text), "word" or nothing."""
     if name in DROPPED:
         return True, False, ""
     if name == "header":
-        inside = parent
-        while inside is not None:
-            if inside.name in ("article", "main"):
-                return False, False, ""
-            inside = inside.parent
-        return True, False, ""
+        return not in_article, False, ""
+    if name == "form" and not attrs:
+        return False, False, "word"
     if not attrs or name in ("html", "body", "article", "main"):
         return False, name in ("article", "main"), ""
     hidden, classes = False, []
@@ -103,6 +107,8 @@ def _marked(name: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
     doubted = [w for words in classes if not TELLING.fullmatch(words[0])
                for w in words if UNLIKELY.fullmatch(w)]
     doubt = "" if not doubted else "reply" if any(map(REPLIES.fullmatch, doubted)) else "word"
+    if name == "form":
+        return hidden, likely, doubt or "word"
     if doubt and any(all(map(LIKELY.fullmatch, words)) for words in classes):
         doubt = "likely"
     return hidden, likely, doubt
@@ -134,6 +140,32 @@ def _doubted(root: Node) -> None:
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings of decoded text."""
     root = at = Node("#root", None)
+    path = [root]  # the open elements
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # their places by name, and of all blocks
+
+    def open_(node: Node) -> None:
+        nonlocal at
+        depths[node.name].append(len(path))
+        if node.name in BLOCKS:
+            depths["#blocks"].append(len(path))
+        path.append(node)
+        at = node
+
+    def close(depth: int) -> None:
+        """Ends the element at `depth` and all that is open inside it."""
+        nonlocal at
+        while len(path) > depth:
+            node = path.pop()
+            depths[node.name].pop()
+            if node.name in BLOCKS:
+                depths["#blocks"].pop()
+        at = path[-1]
+
+    def end_paragraph() -> None:
+        inner = depths["#blocks"]
+        if inner and path[inner[-1]].name == "p":
+            close(inner[-1])
+
     pos, size = 0, len(page)
     while pos < size:
         start = page.find("<", pos)
@@ -143,7 +175,7 @@ def parse(page: str) -> Node:
             at.children.append(entities.unescape(page[pos:start]))
         if start == size:
             break
-        found = TOKEN.match(page, start) or LOOSE_ATTRS.match(page, start)
+        found = TOKEN.match(page, start)
         if not found:
             at.children.append("<")
             pos = start + 1
@@ -153,32 +185,27 @@ def parse(page: str) -> Node:
         if name is None:
             continue
         if found["end"]:
-            node = at
-            while node.parent is not None and node.name != name:
-                node = node.parent
-            if node.parent is not None:
-                at = node.parent
+            if depths[name]:
+                close(depths[name][-1])
             continue
         if name in VOID:
-            if name in ("br", "hr"):
+            if name == "br":
                 at.children.append(" ")
+            elif name == "hr":
+                end_paragraph()
+                at.children.append(Node("hr", at))
             continue
         if name in BLOCKS and name not in ("li", "dt", "dd", "tr", "td", "th"):
-            node = at  # a block ends an open paragraph
-            while node.parent is not None and node.name not in BLOCKS:
-                node = node.parent
-            if node.name == "p":
-                at = node.parent
+            end_paragraph()
         elif name in ENDS:
             ended, stops = ENDS[name]
-            node, last = at, None
-            while node.parent is not None and node.name not in stops:
-                if node.name in ended or node.name == "p":
-                    last = node
-                node = node.parent
-            if last is not None:
-                at = last.parent
-        child = Node(name, at, *_marked(name, found["attrs"], at))
+            stop = max((depths[x][-1] for x in stops if depths[x]), default=0)
+            first = [(depths[x], bisect(depths[x], stop)) for x in (*ended, "p")]
+            inside = [places[n] for places, n in first if n < len(places)]
+            if inside:
+                close(min(inside))
+        child = Node(name, at, *_marked(name, found["attrs"],
+                                        bool(depths["article"] or depths["main"])))
         at.children.append(child)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
@@ -187,9 +214,9 @@ def parse(page: str) -> Node:
             elif name in ("script", "style", "textarea", "title"):
                 pos = size
             else:
-                at = child
+                open_(child)
         elif not found["attrs"].endswith("/") or name in BLOCKS:
-            at = child
+            open_(child)
     return root
 
 
@@ -206,9 +233,9 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
         parts.clear()
         state["linked"] = 0
 
-    stack = [(root, iter(root.children), False)]
+    stack = [(root, iter(root.children), False, root)]
     while stack:
-        node, rest, in_link = stack[-1]
+        node, rest, in_link, owner = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
@@ -216,9 +243,6 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
                 flush()
         elif isinstance(child, str):
             if not parts:
-                owner = node
-                while owner.parent is not None and owner.name not in BLOCKS:
-                    owner = owner.parent
                 state["owner"] = owner
             parts.append(child)
             if in_link:
@@ -226,7 +250,8 @@ def _blocks(root: Node) -> list[tuple[Node, str, int]]:
         elif not child.dropped:
             if child.name in BLOCKS:
                 flush()
-            stack.append((child, iter(child.children), in_link or child.name == "a"))
+            stack.append((child, iter(child.children), in_link or child.name == "a",
+                          child if child.name in BLOCKS else owner))
     flush()
     return out
 
@@ -260,12 +285,19 @@ def main_text(page: str) -> str:
     best.kept = True
     if best.parent is not None:
         least = max(10.0, 0.2 * score(best))
+        ended = {id(owner) for owner, text, _ in blocks if text[-1] in ENDINGS}
+        headed: dict[int, bool] = {}  # elements that hold a heading
+        for node in reversed(nodes):
+            if headed.get(id(node)) or (node.name in HEADINGS and node.chars):
+                headed[id(node)] = headed[id(node.parent)] = True
         for node in best.parent.children:
             if isinstance(node, str) or node.dropped or node is best or not node.chars:
                 continue
-            prose = node.name in ("p", "h1", "h2", "h3") and 4 * node.linked < node.chars and (
-                node.chars > 80 or node.name != "p")
-            node.kept = score(node) >= least or prose
+            prose = node.name in ("p", *HEADINGS) and 4 * node.linked < node.chars and (
+                node.chars > 80 or node.name != "p" or id(node) in ended and not node.linked)
+            section = (node.name in ("article", "section", "div") and not node.doubt
+                       and 4 * node.linked < node.chars and headed.get(id(node), False))
+            node.kept = score(node) >= least or prose or section
     for node in nodes:
         node.kept = node.kept or (node.parent is not None and node.parent.kept)
     return "\n\n".join(text for owner, text, _ in blocks if owner.kept)
@@ -285,12 +317,15 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     Columns of `pages` that bear these two names are replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
-    narrow = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
-    schema = extended(narrow.drop("__html"), f"`{text_col}` string, n_chars long")
+    whole = "__html"
+    while whole in {c.lower() for c in keep}:
+        whole += "_"
+    narrow = pages.select(*keep, F.col(html_col).cast("string").alias(whole))
+    schema = extended(narrow.drop(whole), f"`{text_col}` string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) if x else "" for x in batch.column("__html").to_pylist()]
+            texts = [main_text(x) if x else "" for x in batch.column(whole).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(texts, pa.string()),
                  pa.array(map(len, texts), pa.int64())], names=[*keep, text_col, "n_chars"])
