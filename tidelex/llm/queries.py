@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_folder, read
 from . import (byte_passages, collocations, decontaminate, hard_negatives, html_text,
-               ngram_join, packing, secrets, toxicity, url_filter, warc, weighted_sketch, word_passages)
+               ngram_join, oracles, packing, secrets, toxicity, url_filter, warc, weighted_sketch, word_passages)
 
 
 def tokenizer_path() -> str:
@@ -73,6 +73,11 @@ QUERIES = {f.__name__: f for f in (
     op1_warc, op2_ngram_join, op3_html_text, op4_secrets, op5_byte_passages, op6_toxicity,
     op7_fingerprints, op8_decontamination, op9_word_passages, op10_packing,
     op11_url_filter, op12_hard_negatives, op13_collocations)}
-ORACLES: dict[str, str] = {"op11_url_filter": url_filter.ORACLE_SQL,
+ORACLES: dict[str, str] = {"op1_warc": oracles.WARC,
+                           "op2_ngram_join": oracles.NGRAM_JOIN,
+                           "op5_byte_passages": oracles.BYTE_PASSAGES,
+                           "op8_decontamination": oracles.DECONTAMINATION,
+                           "op9_word_passages": oracles.WORD_PASSAGES,
+                           "op11_url_filter": url_filter.ORACLE_SQL,
                            "op12_hard_negatives": hard_negatives.ORACLE_SQL,
                            "op13_collocations": collocations.ORACLE_SQL}
