@@ -1,5 +1,8 @@
 """Each stage of the pipeline on its own input."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidelex.llm import decontaminate, ngram_join, queries
 
@@ -24,3 +27,32 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, FOLDER).count() == last.count()
+
+
+#: Names that operators also make inside.
+NAMES = ("hits", "id", "key", "row", "n", "x", "label", "score", "secrets", "spans", "class", "piece", "items", "kept")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_names_of_columns(spark, name):
+    """Nulls, empty texts, repeated rows, further columns of any name, and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    shape = queries.read(spark, FOLDER, "documents")
+    rows = [(None, None), (None, "some words"), (1, ""), (2, None), (3, "a few plain words"),
+            (3, "a few plain words"), (4, "x" * 50_000), (5, "one two three " * 9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in shape.schema if f.name not in ("doc_id", "text")}
+    ).withColumns({c: F.lit(c) for c in NAMES})
+    got = stage(spark, docs, FOLDER)
+    assert stage(spark, docs.limit(0), FOLDER).collect() == []
+    if name == "packing":
+        assert {r["doc_id"] for r in got.select("doc_id").collect()} == {None, 1, 2, 3, 4, 5}
+        return
+    assert got.columns == docs.columns
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+    wanted = sorted((d or 0, t or "") for d, t in rows)
+    if name == "ngram_join":  # copies go, and texts without words are copies of each other
+        assert len(found) == 5 and set(found) < set(wanted)
+    else:
+        assert found == wanted
+    assert all(r[c] == c for r in got.select(*NAMES).collect() for c in NAMES)

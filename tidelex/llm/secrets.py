@@ -291,17 +291,18 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """`docs` with every secret of its texts replaced by `mark`, overlapping ones by one mark. The
     text travels with its row, so nothing is joined; a null text stays null."""
-    columns = docs.columns
-    found = scan(docs.withColumn("__whole", F.col(text_col)), text_col)
+    # Rows travel whole, as one column, so their columns may have any names.
+    found = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), "text")
+    whole = F.col("row").getField(text_col)
     # Each step keeps what was cut so far and where the last secret ended.
     done = F.aggregate(
         "secrets", F.struct(F.lit("").alias("out"), F.lit(0).alias("end")),
         lambda a, x: F.when(x["start"] < a["end"], F.struct(
             a["out"].alias("out"), F.greatest(a["end"], x["stop"]).alias("end"))).otherwise(
             F.struct(F.concat(a["out"], F.substring(
-                F.col("__whole"), a["end"] + 1, x["start"] - a["end"]), F.lit(mark)).alias("out"),
+                whole, a["end"] + 1, x["start"] - a["end"]), F.lit(mark)).alias("out"),
                 x["stop"].alias("end"))))
-    cut = F.concat(done["out"], F.substring(
-        F.col("__whole"), done["end"] + 1, F.length("__whole")))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(
-        F.col("__whole"))).select(*columns)
+    cut = F.concat(done["out"], F.substring(whole, done["end"] + 1, F.length(whole)))
+    text = F.when(F.size("secrets") > 0, cut).otherwise(whole).alias(text_col)
+    return found.select(*[text if c == text_col else F.col("row").getField(c).alias(c)
+                          for c in docs.columns])
