@@ -6,6 +6,7 @@ import sys
 import time
 import uuid
 from collections import Counter
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidelex.config import Config
-from tidelex.errors import EndpointRefused
+from tidelex.errors import BudgetExceeded, EndpointRefused
 from tidelex.functions.governor import Limits, RateGovernor, Use
 from tidelex.operators import quota
 from tidelex.plans import calls, campaign, committee
@@ -181,6 +182,38 @@ def test_a_stopped_run_keeps_refused_units_and_drops_unreached_ones(spark, confi
     assert sum(r.cost_usd for r in rows.values()) == pytest.approx((8 - len(refused)) * .00042)
 
 
+def test_a_campaign_beyond_one_budget_is_paid_in_instalments(spark, config, tmp_path):
+    """Each instalment has a ledger and a budget of its own; every unit is asked once."""
+    table = units(spark, 12).unionByName(spark.createDataFrame(
+        [("T9", "2025-02-01", 0, "", "none", 0)], UNIT))
+    send = Paid(tmp_path / "sent", refuse_one)
+    # One call is estimated at a little over 0.00108 USD and costs 0.00042 USD.
+    rows, askings = campaign.run_in_instalments(
+        table, arm(), answers.StoredAnswers(spark, config.answers_path),
+        lambda n: campaign.Asking(spark, arm(), endpoint(send), replace(
+            config, ledger_path=f"{tmp_path}/ledger/{n}", budget_usd=0.0062)), True)
+    rows = {r.session: r for r in rows.collect()}
+    assert len(askings) == 3 and len(rows) == 13 and rows["2025-02-01"].calls == 0
+    assert set(send.sent()) == {f"text{i}" for i in range(12)}
+    assert sum(r.calls for r in rows.values()) == 12
+    assert [s for s, r in rows.items() if r.n_failures] == ["2025-01-04"]
+    assert {n: c for n, c in send.sent().items() if c > 1 and n != "text3"} == {}
+    for asking in askings:
+        assert ledger.total_cost(spark, asking.config.ledger_path) <= 0.0062
+    # A budget that pays no call at all is still an error.
+    with pytest.raises(BudgetExceeded):
+        campaign.run_in_instalments(
+            units(spark, 3), arm(), committee.no_answers(spark),
+            lambda n: campaign.Asking(spark, arm(), endpoint(send), replace(
+                config, answers_path=f"{tmp_path}/none", ledger_path=f"{tmp_path}/none/{n}",
+                budget_usd=0.0001)), True)
+
+
+def refuse_one(folder, text):
+    if text == "text3":
+        raise ValueError("no such model")
+
+
 def test_progress_comes_from_observed_metrics(spark, config, tmp_path):
     seen = []
     run(spark, config, Paid(tmp_path / "sent"), 10, lambda *told: seen.append(told))
