@@ -153,11 +153,15 @@ def deduplicate(docs: DataFrame, describe: Callable[[list[bytes]], str], id_col:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.split() for t in batch.column("text").to_pylist()]
+            counts, wholes = [], []
+            # The words of one text at a time: those of a batch are hundreds of MB of objects.
+            for text in batch.column("text"):
+                words = text.as_py().split()
+                counts.append(len(words))
+                wholes.append(describe(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(map(len, words), pa.int64()),
-                 pa.array(map(describe, words), pa.string())],
-                names=["id", "key", "n_words", "whole"])
+                [batch.column("id"), batch.column("key"), pa.array(counts, pa.int64()),
+                 pa.array(wholes, pa.string())], names=["id", "key", "n_words", "whole"])
 
     rows = checkpointed(texts.mapInArrow(whole, "id long, key binary, n_words long, whole string"))
     first_ids = checkpointed(rows.groupBy("key").agg(F.min("id").alias("id")))
