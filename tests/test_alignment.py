@@ -222,6 +222,33 @@ def test_a_shared_phrase_links_in_proportion(spark):
     assert neardup._links(table, 0.85, ["unit"]).count() == 0
 
 
+def test_trigram_sets_do_not_travel_whole(spark, monkeypatch):
+    """Of long texts only a part of the trigrams is stored and shuffled, and a null unit is one."""
+    long = [" ".join(f"{n}w{i}" for i in range(300)) for n in range(30)]
+    bodies = long + [b + " more words" for b in long[:3]] + copies(7, 30)
+    docs = spark.createDataFrame(
+        [(f"{i:04d}", "2025-01-15", b, "", "s", "t", u) for i, b in enumerate(bodies)
+         for u in ("u", None)], "doc_id string, published_utc string, body string, title string, "
+        "source string, text_key string, unit string")
+    stored, whole = [], neardup.checkpointed
+
+    def counted(df):
+        df = whole(df)
+        arrays = [F.sum(F.coalesce(F.array_size(f.name), F.lit(0))) for f in df.schema
+                  if f.dataType.typeName() == "array"]
+        stored.append(sum(x or 0 for x in df.agg(*arrays).first()) if arrays else df.count())
+        return df
+
+    monkeypatch.setattr(neardup, "checkpointed", counted)
+    kept = neardup.keep_first(docs, unit=["unit"], max_unit_chars=0).collect()
+    expected = [f"{i:04d}" for i in greedy(bodies)]
+    for unit in ("u", None):
+        mine = [r for r in kept if r["unit"] == unit]
+        assert sorted(r["doc_id"] for r in mine) == expected
+        assert {r["n_documents"] for r in mine} == {len(expected)}
+    assert max(stored) <= 0.5 * 2 * sum(max(0, len(b.split()) - 2) for b in bodies)
+
+
 @pytest.mark.parametrize("cap", [32_000_000, 0])
 def test_identical_rows_and_wordless_texts(spark, cap):
     body = " ".join(f"w{i}" for i in range(200))
