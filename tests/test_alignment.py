@@ -249,6 +249,27 @@ def test_trigram_sets_do_not_travel_whole(spark, monkeypatch):
     assert max(stored) <= 0.5 * 2 * sum(max(0, len(b.split()) - 2) for b in bodies)
 
 
+def test_units_may_span_batches_and_stay_in_arrow(spark):
+    bodies = copies(5, 40)
+    docs = spark.createDataFrame(
+        [(f"{i:04d}", "2025-01-15", b, "", "s", "t", u) for i, b in enumerate(bodies)
+         for u in ("u", "v", None)], "doc_id string, published_utc string, body string, "
+        "title string, source string, text_key string, unit string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        kept = neardup.keep_first(docs, unit=["unit"])
+        assert "MapInPandas" not in kept._jdf.queryExecution().toString()
+        kept = kept.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = [f"{i:04d}" for i in greedy(bodies)]
+    for unit in ("u", "v", None):
+        mine = [r for r in kept if r["unit"] == unit]
+        assert sorted(r["doc_id"] for r in mine) == expected
+        assert {r["n_documents"] for r in mine} == {len(expected)}
+
+
 @pytest.mark.parametrize("cap", [32_000_000, 0])
 def test_identical_rows_and_wordless_texts(spark, cap):
     body = " ".join(f"w{i}" for i in range(200))
