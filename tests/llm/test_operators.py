@@ -325,6 +325,32 @@ def test_likenesses_against_the_exact_ones(spark):
     assert sum(abs(x) > 0.1 for x in off) <= 0.01 * len(off)
 
 
+def test_darts_of_a_pair_do_not_grow_with_its_words(spark):
+    """One draw for each word and sample would be 512,000 a row here."""
+    text = " ".join(f"w{n:05d}" for n in range(2000))
+    for repeats in (1, 4):
+        long = " ".join(text.replace("w", chr(97 + n)) for n in range(repeats))
+        pairs = spark.createDataFrame([(1, 5, long, long)], "k long, n long, one string, two string")
+        thrown = weighted_sketch.darts(pairs, "k", "one", "two", ["n"])
+        assert 2500 < thrown.where("a IS NOT NULL").count() < 3700
+        got = weighted_sketch.sketch_pairs(pairs, "k", "one", "two", ["n"]).first()
+        assert got["n"] == 5 and len(got["sketch_1"]) == 256 and got["sketch_1"] == got["sketch_2"]
+
+
+def test_fingerprints_of_short_and_odd_texts(spark):
+    """Of one word, of spaces, of one unit, of few units, and with repeated and null ids."""
+    rows = [(None, "a"), (1, ""), (2, " \t "), (3, "a"), (4, "a"), (5, "aa aa a"), (5, "aa aa a"),
+            (6, "word"), (7, None), (8, "a" * 9000 + " b")]
+    got = weighted_sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and len(got[0]) == 7
+    prints = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert prints[1] == prints[2] == prints[7] == "" and prints[3] == prints[4] == prints[None]
+    assert all(len(prints[n]) == 1024 for n in (3, 5, 6, 8)) and len({*prints.values()}) == 5
+    near = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in got}
+    assert near[1] == (1.0, 1.0) and near[3] == (1.0, 1.0) and near[2][1] == 0.0 and near[6][1] == 0.0
+    assert near[8][1] < 0.05 and all(0 <= x <= 1 for n in near.values() for x in n)
+
+
 def test_contaminated_rows_go_whatever_the_columns_are_called(spark):
     names = ("hits", "__hits", "__row", "__text", "__whole", "items", "spans", "n_hit", "n_words", "row")
     item = " ".join(f"b{n}" for n in range(12))

@@ -1,21 +1,25 @@
 """Fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is a bag of words, each weighing its count times its length in code points. For sample j and
-word k, r and c are Gamma(2, 1) and b is uniform, all functions of (k, j) alone. With
-t = floor(ln w / r + b), the sample keeps the word that minimises ln c - r (t - b + 1), together
-with t. Two texts agree in a sample with the probability of their generalised Jaccard similarity,
-sum of min(w, w') over sum of max(w, w').
+A text is a bag of words, each weighing its count times its length in code points. Weights are whole
+numbers, so a word of weight w is the units (word, 1) to (word, w), and a sample is a unit drawn
+evenly from all units of the text, by hashes of the unit alone: two texts agree in a sample with the
+probability of their generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w').
+
+All samples are drawn together. In round r = 0, 1, ... each unit throws one dart: a hash of (unit, r)
+names the sample it meets and its place in the round. In rounds `samples` to 2 * `samples` - 1 every
+dart meets sample r - `samples`, so none stays without a dart. A sample keeps the unit of its first
+dart. Of a text of W units only the darts before round `HORIZON` * `samples` / W are thrown (all, if W is
+at most `HORIZON`): a sample meets none of them with a probability of e^-`HORIZON`, 6e-6, and then
+repeats the one before it. So the work is a hash or two a unit and some `HORIZON` * `samples` darts,
+not one draw for each word and sample.
 
 With `SAMPLES` samples a likeness has a standard error of at most 0.5 / sqrt(SAMPLES): 0.031 for 256.
-Samples are taken in rounds of `ROUND`, each a row of its own, so that a row of the aggregate stays
-narrow enough for generated code.
-
-A sample is stored as 16 bits of a hash of (word, t): chance agreement adds 1 / 65536. Two texts of
-one pair are sketched together, so that a word of both draws its random numbers once.
+A sample is stored as 16 bits of the hash of its dart: chance agreement adds 1 / 65536. Two texts of
+one pair are sketched together, so that a unit of both throws its darts once.
 
 Everything after the co-location of a text with its edit runs in one stage: words are counted and
-samples are taken on the partitioning by document, without a further shuffle, and no group is ever
-gathered (sums and minima only).
+samples are taken on the partitioning by document, without a further shuffle, and no group but that
+of a text's samples is ever gathered (sums and minima only).
 
 Defined results: a text without words has the empty fingerprint; two of them are alike (1), one of
 them and a text with words are not (0).
@@ -25,93 +29,130 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, partitions_for, text_or_empty
 
 SAMPLES = 256
-#: Samples that one row of the aggregate holds.
-ROUND = 8
+#: Darts a sample meets on average before a text's horizon.
+HORIZON = 12
+#: Low bits of a dart's time that hold its place in the round; the low 16 of them name the unit.
+PLACE = 50
+#: Shuffle partitions by document, times those of the session: a task holds the darts of its texts.
+FINER = 4
 #: Stands for a null id inside this module, and sorts first.
 NO_ID = -(1 << 63)
 
 
-def _bits(value: Column, shift: int, width: int) -> Column:
-    """`width` bits of a long as a uniform number in (0, 1)."""
-    return ((F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5))
-            * F.lit(2.0 ** -width))
-
-
-def _samples(word: Column, weights: list[Column], j: Column) -> list[Column]:
-    """For each weight (null: the word is absent): a long whose minimum over the words of a text is
-    sample j; the high bits order by the sampled value, the low 16 name (word, t)."""
-    first, second = F.xxhash64(word, j * 2), F.xxhash64(word, j * 2 + 1)
-    r = -F.log(_bits(first, 0, 32) * _bits(first, 32, 32))
-    log_c = F.log(-F.log(_bits(second, 0, 24) * _bits(second, 24, 20)))
-    b = _bits(second, 44, 20)
-    out = []
-    for log_weight in weights:
-        t = F.floor(log_weight / r + b)
-        value = log_c - r * (t - b + F.lit(1.0))
-        # The value lies within +-2^15 for any weight below e^1000: 47 bits hold it.
-        ordered = F.shiftleft(((value + F.lit(32768.0)) * F.lit(2.0 ** 30)).cast("long"), 16)
-        out.append(ordered.bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(65535))))
-    return out
-
-
 def _words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def sketch_pairs(pairs: DataFrame, keys: list[str], first: str, second: str,
+def _limit(text: Column, samples: int, horizon: int = HORIZON) -> Column:
+    """The time of a text's horizon."""
+    units = F.length(F.regexp_replace(text, r"\s+", ""))
+    rounds = F.when(units <= horizon, F.lit(2.0 * samples)).otherwise(
+        F.lit(float(horizon * samples)) / units)
+    return (rounds * F.lit(2.0 ** PLACE)).cast("long")
+
+
+def _upto(first: int, count: Column) -> Column:
+    """`count` whole numbers from `first`; null for none."""
+    count = count.cast("long")
+    return F.when(count > 0, F.sequence(F.lit(first).cast("long"), count + F.lit(first - 1)))
+
+
+def darts(pairs: DataFrame, key: str, first: str, second: str, carried: list[str],
+          samples: int = SAMPLES) -> DataFrame:
+    """(`key`, row, j, a, b) of every dart that either text of a row throws: the sample it meets and
+    its time in each text (null: not thrown). The row number keeps repeated rows apart. Column n of
+    `carried` is value a of j = -2 - n. What throws no dart keeps a row with null for j."""
+    at, limits = [key, "row"], ["limit_1", "limit_2"]
+    numbered = pairs.select(key, *carried, F.monotonically_increasing_id().alias("row"), first, second,
+                            _limit(F.col(first), samples).alias("limit_1"),
+                            _limit(F.col(second), samples).alias("limit_2"))
+    part = lambda side, text, value: F.struct(
+        F.lit(side).alias("side"), text.alias("text"), value.alias("value"))
+    sides = numbered.select(*at, *limits, F.explode(F.array(
+        part(0, F.col(first), F.lit(0).cast("long")), part(1, F.col(second), F.lit(0).cast("long")),
+        *[part(2 + n, F.lit(""), F.col(c)) for n, c in enumerate(carried)])).alias("x"))
+    words = (sides.select(*at, *limits, "x.*")
+             .select(*at, *limits, "side", "value", F.explode(_words(F.col("text"))).alias("w"))
+             .select(*at, *limits, "side", F.greatest(F.col("side"), F.lit(1)).alias("kind"),
+                     F.xxhash64("w").alias("word"), F.when(F.col("side") > 1, F.col("value"))
+                     .otherwise(F.length("w")).alias("size")))
+    counted = words.groupBy(*at, *limits, "kind", "word").agg(
+        F.sum(F.when(F.col("side") != 1, F.col("size")).otherwise(0)).alias("w1"),
+        F.sum(F.when(F.col("side") == 1, F.col("size")).otherwise(0)).alias("w2"))
+    # Units of a round: as many as a side has whose horizon the round does not pass. What has none
+    # keeps a row (outer).
+    rounds = lambda n: F.when((F.col("kind") == 1) & (F.col(f"w{n}") > 0), F.ceil(
+        F.col(f"limit_{n}") * F.lit(2.0 ** -PLACE))).otherwise(0)
+    by_round = counted.select(*at, *limits, "kind", "word", "w1", "w2", F.explode_outer(
+        _upto(0, F.greatest(rounds(1), rounds(2)))).alias("round"))
+    start = F.shiftleft(F.col("round"), PLACE)
+    reach = lambda n: F.when(start < F.col(f"limit_{n}"), F.col(f"w{n}")).otherwise(0)
+    units = by_round.select(*at, *limits, "kind", "word", "w1", "w2", "round", F.explode_outer(
+        _upto(1, F.greatest(reach(1), reach(2)))).alias("unit"))
+    thrown = (units.withColumn("bits", F.xxhash64("word", "unit", "round"))
+              .withColumn("time", start.bitwiseOR(F.shiftrightunsigned("bits", 64 - PLACE)))
+              .where(F.col("unit").isNull() | (F.col("time") < F.greatest(*limits))))
+    drawn = F.shiftright(F.col("bits").bitwiseAND(F.lit((1 << (64 - PLACE)) - 1)) * samples, 64 - PLACE)
+    met = F.when(F.col("kind") > 1, -F.col("kind")).when(F.col("unit").isNotNull(), F.when(
+        F.col("round") < samples, drawn).otherwise(F.col("round") - samples))
+    time = lambda n: F.when((F.col("unit") <= F.col(f"w{n}"))
+                            & (F.col("time") < F.col(f"limit_{n}")), F.col("time"))
+    return thrown.select(*at, met.cast("long").alias("j"), F.when(
+        F.col("kind") > 1, F.col("w1")).otherwise(time(1)).alias("a"), time(2).alias("b"))
+
+
+def sketch_pairs(pairs: DataFrame, key: str, first: str, second: str, carried: list[str],
                  samples: int = SAMPLES) -> DataFrame:
-    """(*`keys`, sketch_1, sketch_2) of both texts of each row; sketches are arrays of `samples`
-    longs under 65536, null for a text without words.
+    """(`key`, *`carried`, sketch_1, sketch_2) of both texts of each row; sketches are arrays of
+    `samples` (at most 1,024) longs under 65536, empty for a text without words.
 
-    With `pairs` partitioned by one of `keys` this is one stage. The row number keeps repeated rows
-    apart while words are counted.
+    With `pairs` partitioned by `key` this is one stage. `carried`, columns of longs, travel as
+    samples of their own, so that the many darts stay narrow and nothing is joined afterwards.
     """
-    at = [*keys, "row"]
-    numbered = pairs.select(*keys, F.monotonically_increasing_id().alias("row"), first, second)
-    sides = numbered.select(*at, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col(first).alias("text")),
-        F.struct(F.lit(1).alias("side"), F.col(second).alias("text")))).alias("x"))
-    words = (sides.select(*at, "x.side", "x.text")
-             .select(*at, "side", F.explode(_words(F.col("text"))).alias("w"))
-             .select(*at, "side", F.xxhash64("w").alias("word"),
-                     F.length("w").cast("double").alias("size")))
-    counted = words.groupBy(*at, "word").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("size")).otherwise(0.0)).alias("w1"),
-        F.sum(F.when(F.col("side") == 1, F.col("size")).otherwise(0.0)).alias("w2"))
-    # The logarithm of 0 is null: an absent word, and the empty word, take no part.
-    weighted = counted.select(*at, "word", F.log("w1").alias("l1"), F.log("w2").alias("l2"))
-    size = min(samples, ROUND)
-    rounds = -(-samples // size)
-    least = []
-    for j in range(size):
-        a, b = _samples(F.col("word"), [F.col("l1"), F.col("l2")], F.col("round") * size + j)
-        least += [F.min(a).alias(f"a{j}"), F.min(b).alias(f"b{j}")]
-    low = lambda side: F.when(F.col(f"{side}0").isNotNull(), F.array(*[
-        F.col(f"{side}{j}").bitwiseAND(F.lit(65535)) for j in range(size)]))
-    parts = weighted.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).groupBy(
-        *at, "round").agg(*least).select(*at, "round", low("a").alias("a"), low("b").alias("b"))
-    whole = lambda side: F.slice(F.concat(*[
-        F.max(F.when(F.col("round") == n, F.col(side))) for n in range(rounds)]), 1, samples)
-    return parts.groupBy(*at).agg(whole("a").alias("sketch_1"), whole("b").alias("sketch_2")).select(
-        *keys, "sketch_1", "sketch_2")
+    at = [key, "row"]
+    least = darts(pairs, key, first, second, carried, samples).groupBy(*at, "j").agg(
+        F.min("a").alias("a"), F.min("b").alias("b"))
+    # At most `samples` numbers of a text: a sample and its name.
+    named = lambda side: F.sort_array(F.collect_list(F.when(
+        F.col("j") >= 0, F.shiftleft("j", 16).bitwiseOR(F.col(side).bitwiseAND(F.lit(65535))))))
+    found = least.groupBy(*at).agg(
+        *[F.max(F.when(F.col("j") == -2 - n, F.col("a"))).alias(c) for n, c in enumerate(carried)],
+        named("a").alias("a"), named("b").alias("b"))
+    return found.select(key, *carried, _filled("a", samples).alias("sketch_1"),
+                        _filled("b", samples).alias("sketch_2"))
+
+
+def _filled(column: str, samples: int) -> Column:
+    """The names alone; a sample that is not there repeats the one before it, the first ones the
+    first that is."""
+    there = F.col(column)
+    name = lambda x: x.bitwiseAND(F.lit(65535))
+    repeated = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: name(F.element_at(
+        there, F.greatest(F.size(F.filter(there, lambda x: F.shiftright(x, 16) <= j)), F.lit(1)))))
+    return F.when(F.size(there).isin(0, samples), F.transform(there, name)).otherwise(repeated)
+
+
+def as_bytes(sketch: Column) -> Column:
+    """A sketch as 2 bytes a sample; empty for a text without words."""
+    return F.unhex(F.concat_ws("", F.transform(sketch, lambda x: F.lpad(F.hex(x), 4, "0"))))
 
 
 def as_text(sketch: Column) -> Column:
-    """A sketch as 4 hexadecimal digits a sample; empty for a text without words."""
-    return F.coalesce(F.concat_ws("", F.transform(
-        sketch, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0"))), F.lit(""))
+    """Bytes as hexadecimal digits, 4 a sample."""
+    return F.lower(F.hex(sketch))
 
 
 def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
-    """Share of equal samples of two fingerprints in their text form."""
+    """Share of equal samples of two sketches as bytes."""
     same = F.aggregate(F.sequence(F.lit(0), F.lit(samples - 1)), F.lit(0), lambda total, j: (
-        total + (one.substr(j * 4 + 1, F.lit(4)) == other.substr(j * 4 + 1, F.lit(4))).cast("int"))
+        total + (one.substr(j * 2 + 1, F.lit(2)) == other.substr(j * 2 + 1, F.lit(2))).cast("int"))
     ) / F.lit(float(samples))
-    return (F.when((one == "") & (other == ""), F.lit(1.0))
-            .when((one == "") | (other == ""), F.lit(0.0)).otherwise(same))
+    none = F.lit(b"")
+    return (F.when((one == none) & (other == none), F.lit(1.0))
+            .when((one == none) | (other == none), F.lit(0.0)).otherwise(same))
 
 
 def successors(keys: DataFrame, key: str) -> DataFrame:
@@ -148,28 +189,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     following = checkpointed(sizes.join(successors(sizes, "k"), "k").select(
         "k", "n", F.coalesce("next", F.lit(first).cast("long")).alias("next")))
     # The head of each document goes to the one before it; only that quarter is moved again.
+    fine = FINER * partitions_for(docs)
+    placed = rows.repartition(fine, "k")
     wanted = following.select(F.col("k").alias("to"), F.col("next").alias("k"),
                               F.floor(F.col("n") / 4).cast("int").alias("q"))
-    heads = (rows.join(wanted, "k")
+    heads = (placed.join(wanted, "k")
              .select(F.col("to").alias("k"), F.substring("text", F.lit(1), F.col("q"))
                      .alias("head"))
-             .groupBy("k").agg(F.min("head").alias("head")))
+             .repartition(fine, "k").groupBy("k").agg(F.min("head").alias("head")))
     cut = F.floor(F.length("text") / 4).cast("int")
-    pairs = rows.join(heads, "k", "left").select(
-        "k", "text", F.xxhash64("text").alias("content"), F.concat(
+    pairs = placed.join(heads, "k", "left").select(
+        "k", "text", F.length("text").cast("long").alias("n_chars"), F.concat(
             F.substring("text", F.lit(1), F.length("text") - cut),
             F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut)).alias("edited"))
-    sketches = (sketch_pairs(pairs, ["k", "content"], "text", "edited", samples)
-                .select("k", "content", as_text(F.col("sketch_1")).alias("fingerprint"),
-                        as_text(F.col("sketch_2")).alias("edited_fingerprint"))
-                .dropDuplicates(["k", "content"]))
-    facts = pairs.select("k", "content", F.length("text").cast("long").alias("n_chars"),
-                         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    known = checkpointed(facts.join(sketches, ["k", "content"])
-                         .join(following.select("k", "next"), "k"))
-    other = known.groupBy(F.col("k").alias("next")).agg(F.min("fingerprint").alias("_other"))
-    return known.join(other, "next").select(
-        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_other"), samples).alias("near_next"))
+    # The digest of the edited text travels as four longs.
+    digest = F.sha2(F.encode("edited", "UTF-8"), 256)
+    quarters = [f"sha_{n}" for n in range(4)]
+    pairs = pairs.select("*", *[F.conv(F.substring(digest, 16 * n + 1, 16), 16, -10).cast("long")
+                                .alias(c) for n, c in enumerate(quarters)])
+    sha = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in quarters])
+    known = checkpointed(sketch_pairs(pairs, "k", "text", "edited", ["n_chars", *quarters], samples)
+                         .select("k", "n_chars", F.unhex(sha).alias("sha"),
+                                 as_bytes(F.col("sketch_1")).alias("one"),
+                                 as_bytes(F.col("sketch_2")).alias("edited")))
+    first_of = known.groupBy(F.col("k").alias("next")).agg(F.min("one").alias("following"))
+    others = following.select("k", "next").join(first_of, "next").select("k", "following")
+    return known.join(others, "k").select(
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", as_text(F.col("sha")).alias("edited_sha256"),
+        as_text(F.col("one")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("one"), F.col("edited"), samples).alias("near_edited"),
+        likeness(F.col("one"), F.col("following"), samples).alias("near_next"))
