@@ -56,3 +56,30 @@ def test_odd_rows_and_names_of_columns(spark, name):
     else:
         assert found == wanted
     assert all(r[c] == c for r in got.select(*NAMES).collect() for c in NAMES)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_send_small_batches_to_python(spark, name):
+    stage, conf = dict(corpus_pipeline.STAGES)[name], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = queries.read(spark, FOLDER, "documents").limit(5)
+    before = spark.conf.get(conf)
+    try:
+        for value, wanted in ((10_000, 1_000), (0, 1_000), (64, 64)):
+            spark.conf.set(conf, value)
+            stage(spark, docs, FOLDER)
+            assert int(spark.conf.get(conf)) == wanted
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_rows_stay_out_of_the_search_for_windows(spark, monkeypatch):
+    """Only keys and texts are searched: a row's further columns are not sent along with its text."""
+    seen, search = [], decontaminate.contamination
+    monkeypatch.setattr(decontaminate, "contamination", lambda docs, *a, **k: (
+        seen.append(docs.columns), search(docs, *a, **k))[1])
+    item = " ".join(f"b{n}" for n in range(12))
+    docs = spark.createDataFrame([(1, "x " + item, "p"), (2, item.upper(), None), (3, None, "p"), (3, None, "p")],
+                                 "doc_id long, text string, more string")
+    kept = decontaminate.without_contaminated(
+        docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(3, None, "p")] * 2 and seen == [["key", "text"]]

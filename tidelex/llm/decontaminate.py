@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidelex.session import stored
+
 from . import bloom
-from .common import checkpointed, extended, row_key, text_or_empty
+from .common import checkpointed, extended, row_key, text_key, text_or_empty
 from .winnow import Rolling, anchors, word_symbols
 
 WINDOW = 10
@@ -101,8 +103,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         long_bits, short_bits = filters.value
         for batch in batches:
             counts, hits = [], []
-            for text in batch.column("__text").to_pylist():
-                text = plain(text)
+            for text in batch.column("__text"):  # one at a time: a batch may hold many long ones
+                text = plain(text.as_py())
                 codes = word_symbols(text, _INSIDE)
                 counts.append(len(codes))
                 at: list[tuple[int, int]] = []
@@ -158,8 +160,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                          text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a window of an item. Rows travel whole, as one column, so
-    their columns may have any names."""
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = contamination(held, benchmark, window).where("n_hit = 0")
-    return found.select("row.*")
+    """`docs` without the rows that hold a window of an item. Whether one does is a matter of its
+    text alone, so only texts and their 128-bit keys are searched, and rows stay in the JVM, as one
+    column, so that their columns may have any names. They move for the last join only where the
+    keys found are too many to be sent to all."""
+    key = text_key(text_or_empty(F.col(text_col))).alias("key")
+    texts = docs.select(key, text_or_empty(F.col(text_col)).alias("text"))
+    found = contamination(texts, benchmark, window, id_col="key").where("n_hit > 0")
+    held = docs.select(F.struct(*docs.columns).alias("row"), key)
+    return held.join(stored(found.select("key").distinct()), "key", "left_anti").select("row.*")

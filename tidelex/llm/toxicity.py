@@ -213,7 +213,8 @@ def _featured(docs: DataFrame, lexicon: Lexicon, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(sent.value)
         for batch in batches:
-            found = [features(t, classes) for t in batch.column("__text").to_pylist()]
+            # One text at a time: a batch may hold many long ones.
+            found = [features(t.as_py(), classes) for t in batch.column("__text")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.float64()))],
                 names=[*keep, "__x"])
