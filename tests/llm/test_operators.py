@@ -2,16 +2,19 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelex.llm import (byte_passages, decontaminate, html_text, packing, queries, secrets, toxicity,
-                         warc, weighted_sketch, word_passages)
+from tidelex.llm import (byte_passages, decontaminate, html_text, packing, passages, queries, secrets,
+                         toxicity, warc, weighted_sketch, word_passages)
 from tidelex.llm.common import fresh_folder
+from tidelex.session import shared_folder
 
 SHARED = "the passage which many of them hold " + " ".join(f"w{i}" for i in range(130))
 
@@ -362,3 +365,41 @@ def test_contaminated_rows_go_whatever_the_columns_are_called(spark):
     assert kept.columns == docs.columns
     assert listed(kept, *docs.columns) == listed(docs.where("doc_id > 1"), *docs.columns)
     assert decontaminate.without_contaminated(docs.limit(0), benchmark).collect() == []
+
+
+def test_contexts_of_many_texts_are_those_of_each(spark):
+    rng = random.Random(5)
+    texts = [b"", b" \n", b"a", b"b " * 40, *[
+        b" ".join(rng.choice([b"u", b"v", b"w", "é".encode()]) for _ in range(n)) for n in (12, 13, 14, 0, 90)],
+        b"c" * 800, b"a b " * 300, b""]
+    for rule in word_passages.rule(), byte_passages.rule():
+        def contexts(some):
+            edges = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+            symbols, counts = rule.symbols(np.frombuffer(b"".join(some), np.uint8), edges)
+            assert counts.tolist() == [len(rule.units(t)) for t in some]
+            return [x.tolist() for x in passages._contexts(
+                symbols, np.concatenate([[0], np.cumsum(counts)]), rule.window, rule.gram)]
+
+        alone = [contexts([t]) for t in texts]
+        assert contexts(texts) == [
+            [at for at, found in enumerate(alone) for _ in found[0]],
+            *[[x for found in alone for x in found[i]] for i in range(1, 6)]]
+        assert sum(len(found[0]) for found in alone) > 3
+
+
+def test_tables_of_repeated_passages_take_less_room_than_the_texts(spark):
+    """Checkpoints of anchors took several times the size of the texts."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(20_000)]
+    passage = " ".join(rng.choices(words, k=1500))
+    rows = [(i, f"{' '.join(rng.choices(words, k=20))} n{i} {passage} {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = shared_folder(spark).removeprefix("file:")
+
+    def room():
+        return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+
+    before = room()
+    got = {r["doc_id"]: r["n_removed"] for r in word_passages.report(docs).collect()}
+    assert room() - before < sum(len(t) for _, t in rows)
+    assert got == {i: 1500 if i else 0 for i, _ in rows}

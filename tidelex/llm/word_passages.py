@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, text_key, text_or_empty
 from .passages import Rule, removed, repeated
-from .winnow import word_symbols
+from .winnow import words_of_texts
 
 WINDOW = 13
 GRAM = 5
@@ -37,8 +37,8 @@ INSIDE = np.ones(256, bool)
 INSIDE[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def _symbols(text: bytes) -> np.ndarray:
-    return word_symbols(text, INSIDE)
+def _symbols(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words_of_texts(data, edges, INSIDE)
 
 
 class Automaton:
@@ -124,7 +124,7 @@ def _shard(contexts: list[tuple]) -> Iterator[tuple[int, int, int]]:
 def rule() -> Rule:
     return Rule(
         window=WINDOW, gram=GRAM, units=bytes.split, symbols=_symbols,
-        origin=F.xxhash64("key"), rank=F.col("id"),
+        origin=F.col("key"), rank=F.col("id"),
         repeats=lambda rank, low, high: low < rank,
         payload=lambda words, first, last, place: b" ".join(words[first:last + WINDOW]),
         shard=_shard)
