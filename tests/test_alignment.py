@@ -1,15 +1,18 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelex import session
 from tidelex.errors import AmbiguousZone, MissingColumn, MissingInput
 from tidelex.functions import clock, text
 from tidelex.operators import align, digest, neardup
 from tidelex.sources import corpus
+from tidelex.sources.tables import children
 
 UTC = dt.timezone.utc
 NEWS = ("doc_id string, ticker string, published_utc timestamp, title string, body string, "
@@ -249,6 +252,54 @@ def test_trigram_sets_do_not_travel_whole(spark, monkeypatch):
     assert max(stored) <= 0.5 * 2 * sum(max(0, len(b.split()) - 2) for b in bodies)
 
 
+@pytest.mark.parametrize("grams", [64_000_000, 600])
+def test_large_units_leave_little_on_disk_and_may_be_sliced(spark, monkeypatch, grams):
+    """Tables go as soon as nothing reads them, and slices give the same documents."""
+    bodies = copies(11, 60)
+    docs = spark.createDataFrame(
+        [(f"{i:04d}", "2025-01-15", b, "", "s", "t", u) for i, b in enumerate(bodies)
+         for u in ("u", None)], "doc_id string, published_utc string, body string, title string, "
+        "source string, text_key string, unit string")
+    made, sliced = [], []
+
+    class Watched(session.Scratch):
+        def __init__(self, spark):
+            super().__init__(spark)
+            made.append(self)
+
+    whole = neardup._slices
+    monkeypatch.setattr(neardup, "Scratch", Watched)
+    monkeypatch.setattr(neardup, "GRAMS_AT_ONCE", grams)
+    monkeypatch.setattr(neardup, "_slices", lambda *a: sliced.append(whole(*a)) or sliced[-1])
+    kept = neardup.keep_first(docs, unit=["unit"], max_unit_chars=0)
+    assert sum(len(children(spark, scratch.folder)) for scratch in made) == 1
+    assert {len(parts) > 1 for parts in sliced[:3]} == {grams == 600}
+    rows, expected = kept.collect(), [f"{i:04d}" for i in greedy(bodies)]
+    for unit in ("u", None):
+        mine = [r for r in rows if r["unit"] == unit]
+        assert sorted(r["doc_id"] for r in mine) == expected
+        assert {r["n_documents"] for r in mine} == {len(expected)}
+
+
+def test_a_table_of_a_scratch_takes_no_shuffle_with_it(spark):
+    """The shuffles behind a table are gone when it is written, and the table when it is dropped."""
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(
+            ).getAllFiles().size()
+
+    setting, scratch = spark.conf.get(session.SHUFFLES_GO, None), session.Scratch(spark)
+    before = files()
+    table = scratch.keep(spark.range(1000).repartition(4).groupBy("id").count().repartition(3))
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before
+    assert table.count() == 1000 and len(children(spark, scratch.folder)) == 1
+    scratch.drop(table)
+    assert children(spark, scratch.folder) == []
+    assert spark.conf.get(session.SHUFFLES_GO, None) == setting
+
+
 def test_units_may_span_batches_and_stay_in_arrow(spark):
     bodies = copies(5, 40)
     docs = spark.createDataFrame(
