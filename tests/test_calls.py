@@ -137,6 +137,43 @@ def test_what_was_logged_is_committed_by_the_next_run(spark, config, tmp_path, m
     assert calls.recover(spark, config.call_log(), asking._commit) == 0
 
 
+def test_later_batches_are_committed_in_groups(spark, config, tmp_path, monkeypatch):
+    """Three batches, of which the last two are one group; a group that is repeated replaces itself."""
+    monkeypatch.setattr(calls, "ALONE", 1)
+    monkeypatch.setattr(calls, "GROUP", 3)
+    whole, commits = campaign.Asking._commit, []
+
+    def failing(self, attempts, requests, name):
+        commits.append(name)
+        if len(commits) == 2:
+            raise RuntimeError("the driver is gone")
+        whole(self, attempts, requests, name)
+
+    monkeypatch.setattr(campaign.Asking, "_commit", failing)
+    send = Paid(tmp_path / "sent")
+    with pytest.raises(RuntimeError):
+        run(spark, config, send)[1].collect()
+    assert sum(send.sent().values()) == 12 and ledger_rows(spark, config).count() == 4
+    asking, rows = run(spark, config, send)
+    assert asking.recovered == 3 and commits[2:] == commits[:2]
+    assert [name.split("-")[-1] for name in commits[:2]] == ["b00000000", "b00000001"]
+    assert rows.count() == 12 and set(send.sent().values()) == {1}
+    assert ledger_rows(spark, config).count() == 12
+    assert [calls.group_of(n) for n in range(6)] == [0, 1, 1, 1, 4, 4]
+
+
+def die_at_the_tenth(folder, text):
+    if len(os.listdir(folder)) >= 10:
+        os._exit(1)
+
+
+def test_a_stage_that_fails_commits_what_it_has_logged(spark, config, tmp_path, monkeypatch):
+    monkeypatch.setattr(calls, "ALONE", 0)
+    with pytest.raises(Exception):
+        run(spark, config, Paid(tmp_path / "sent", die_at_the_tenth))[1].collect()
+    assert ledger_rows(spark, config).count() == 8, "two batches of an open group"
+
+
 def no_credit(folder, text):
     error = Exception("Error code: 402 - no credit")
     error.status_code = 402
@@ -261,6 +298,21 @@ def test_waiting_counts_the_uses_that_must_leave():
     assert governor.snapshot()["waited_seconds"] == 20.0
 
 
+def test_far_below_its_ceilings_a_governor_does_not_count_again(monkeypatch):
+    clock = [100.0]
+    governor = RateGovernor(Limits(1e12, 1e9), lambda: clock[0], [Use(90.0, 5.0)] * 1000)
+    monkeypatch.setattr(governor, "_in_window", None)
+    tickets = [governor.reserve(10) for _ in range(3)]
+    governor.settle(tickets[0], 7)
+    governor.release(tickets[1])
+    monkeypatch.undo()
+    assert (governor._most_tokens, governor._most_requests) == (5017.0, 1002.0)
+    assert governor.snapshot()["tokens_in_window"] == 5017.0
+    clock[0] = 155.0
+    assert governor.snapshot()["requests_in_window"] == 2.0
+    assert (governor._most_tokens, governor._most_requests) == (17.0, 2.0)
+
+
 def test_the_store_is_compacted_and_lookups_read_their_partitions(spark, tmp_path):
     path = f"{tmp_path}/store"
     keys = [f"{i:02x}{i * 7919:08x}" for i in range(200)]
